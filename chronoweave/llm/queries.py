@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm.components import components
+from chronoweave.llm.leakage import leaks
 from chronoweave.llm.near_dup import SEQUENCE, near_pairs, words
+from chronoweave.llm.tokenizer import encode_texts
 from chronoweave.runtime import Rounds
 from chronoweave.sources.tables import table
 
@@ -35,7 +37,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components(rows, "loser_id", "survivor_id").select("group_id", F.col("member").alias("decision_id"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_texts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item", "item_id", "text"))
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL = {
     "p5_found": """
