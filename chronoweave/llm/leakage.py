@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronoweave.runtime import ship
 
@@ -256,6 +257,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
     shared = heads.where("size(h) > 1").groupBy(F.trim(F.col("h")[0]).alias("head")).agg(F.countDistinct("i").alias("n")).where("n > 1")
     bodies = heads.withColumn("head", F.when(F.size("h") > 1, F.trim(F.col("h")[0]))).join(shared, "head", "left").select("i", F.when(F.col("n").isNotNull(), F.col("h")[1]).otherwise(F.col("t")).alias("t")).orderBy("i", "t")
     pages = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    item_kind = to_arrow_type(items.schema[item_id].dataType)
     kinds = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(items.dtypes)[item_id]}"
     out, block, size = None, [], 0
 
@@ -271,7 +273,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
                     for item in auto.leaked(texts[n].as_py()):
                         at.append(n)
                         hits.append(item)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(hits, batch_type(items.schema[item_id].dataType))], names=["doc_id", "item_id"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(hits, item_kind)], names=["doc_id", "item_id"])
 
         return pages.mapInArrow(run, kinds)
 
@@ -286,8 +288,3 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
         out = found if out is None else out.unionByName(found)
     return out.distinct().toDF(doc_id, item_id)
 
-
-def batch_type(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)

@@ -17,6 +17,8 @@ from chronoweave.runtime import Rounds, broadcast_if_small, ship
 SEQUENCE, SIMILARITY, SEGMENTS, VALUES = 3, 0.5, 16, 4
 #: A key with more members than this is cut further by signatures of another seed, at most so often.
 HOT_KEY, LEVELS = 500, 3
+#: Values compared in the sketches, and the columns these travel in.
+FIELDS, MARKS = 64, ("s0", "s1", "s2", "s3")
 
 
 def words(title: Column, text: Column) -> Column:
@@ -79,11 +81,11 @@ def variant_keys(low: np.ndarray, segments: int, values: int) -> np.ndarray:
 
 
 def sketch(low: np.ndarray) -> np.ndarray:
-    """(words, texts): two bits of each of the first 64 values, 32 to a word, for a quick comparison."""
-    bits = _mix(low[:64]) & np.uint64(3)
-    shift = (np.arange(len(bits), dtype=np.uint64) % np.uint64(32)) * np.uint64(2)
+    """(4, texts): four bits of each of the first 64 values, 16 to a word, for a quick comparison."""
+    bits = _mix(low[:FIELDS]) & np.uint64(15)
+    shift = (np.arange(len(bits), dtype=np.uint64) % np.uint64(16)) * np.uint64(4)
     packed = bits << shift[:, None]
-    return np.array([np.bitwise_or.reduce(packed[i : i + 32]) for i in range(0, len(bits), 32)])
+    return np.array([np.bitwise_or.reduce(packed[i : i + 16]) for i in range(0, FIELDS, 16)])
 
 
 def _signatures(segments: int, values: int, length: int, seed: int, given: bool):
@@ -102,31 +104,47 @@ def _signatures(segments: int, values: int, length: int, seed: int, given: bool)
                 n = len(keys)
                 # the rows of one text follow each other, which the shuffle's compression profits from
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.T.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, n)), *[pa.array(np.repeat(m, n).view(np.int64)) for m in marks]], names=["key", "cid", "s0", "s1"]
+                    [pa.array(keys.T.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, n)), *[pa.array(np.repeat(m, n).view(np.int64)) for m in marks]], names=["key", "cid", *MARKS]
                 )
 
     return run
 
 
 def _alike(least: int) -> Column:
-    """At least ``least`` of the 64 two-bit fields of the sketches agree."""
-    low = F.lit(0x5555555555555555)
-    differ = []
-    for s in ("s0", "s1"):
+    """At least ``least`` of the fields of the sketches agree."""
+    differ = F.lit(0)
+    for s in MARKS:
         x = F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))
-        differ.append(F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low)))
-    return differ[0] + differ[1] <= 64 - least
-
-
-def _sequences(w: Column, length: int) -> Column:
-    parts = F.split(w, " ")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts) - (length - 1)), lambda i: F.array_join(F.slice(parts, i, length), " ")))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= FIELDS - least
 
 
 def _least_alike(similarity: float) -> int:
     """Fields that a pair of that similarity agrees in, less 3.4 standard deviations (1 in 3 000 falls short)."""
-    p = similarity + (1 - similarity) / 4
-    return int(64 * p - 3.4 * (64 * p * (1 - p)) ** 0.5)
+    p = similarity + (1 - similarity) / 16
+    return int(FIELDS * p - 3.4 * (FIELDS * p * (1 - p)) ** 0.5)
+
+
+def shares(length: int, similarity: float):
+    """Exact share of common sequences of pairs (x, y, wx, wy); those under ``similarity`` are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sequences(w: str) -> set:
+            parts = w.split(" ")
+            return set(zip(*[parts[i:] for i in range(length)]))
+
+        for batch in batches:
+            share = []
+            for wx, wy in zip(batch.column("wx").to_pylist(), batch.column("wy").to_pylist()):
+                a, b = sequences(wx), sequences(wy)
+                n = len(a & b)
+                share.append(n / (len(a) + len(b) - n))
+            keep = np.array(share, float) >= similarity
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(keep)), batch.column("y").filter(pa.array(keep)), pa.array(np.array(share, float)[keep])], names=["a", "b", "similarity"])
+
+    return run
 
 
 def near_pairs(texts: DataFrame, *, length: int = SEQUENCE, similarity: float = SIMILARITY, segments: int = SEGMENTS, values: int = VALUES, hot_key: int = HOT_KEY) -> DataFrame:
@@ -149,7 +167,7 @@ def near_pairs(texts: DataFrame, *, length: int = SEQUENCE, similarity: float =
     source = base.select("cid", "w")
     found = []
     for level in range(LEVELS):
-        rows = source.mapInArrow(_signatures(segments, values, length, 11 + level, level > 0), "key long, cid long, s0 long, s1 long").repartition("key")
+        rows = source.mapInArrow(_signatures(segments, values, length, 11 + level, level > 0), "key long, cid long, " + ", ".join(f"{m} long" for m in MARKS)).repartition("key")
         last = level == LEVELS - 1
         counted = rows.groupBy("key").agg(F.count("*").alias("n"))
         a, b = rows.alias("a"), rows.alias("b")
@@ -174,7 +192,4 @@ def near_pairs(texts: DataFrame, *, length: int = SEQUENCE, similarity: float =
     needed = broadcast_if_small(pairs, 24)
     left = base.select(F.col("cid").alias("x"), F.col("w").alias("wx")).join(needed, "x")
     both = left.join(base.select(F.col("cid").alias("y"), F.col("w").alias("wy")), "y")
-    both = both.withColumn("sx", _sequences(F.col("wx"), length)).withColumn("sy", _sequences(F.col("wy"), length))
-    shared = F.size(F.array_intersect("sx", "sy"))
-    share = shared / (F.size("sx") + F.size("sy") - shared)
-    return both.select(F.col("x").alias("a"), F.col("y").alias("b"), share.alias("similarity")).where(F.col("similarity") >= similarity)
+    return both.select("x", "y", "wx", "wy").mapInArrow(shares(length, similarity), "a long, b long, similarity double")

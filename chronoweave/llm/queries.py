@@ -16,11 +16,12 @@ from chronoweave.sources.tables import table
 def _near_decisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(uri, cid) of every decision that has a word sequence, and the pairs of different texts."""
     rounds = Rounds(spark, "decision_texts")
-    rows = table(spark, d, "decision", "source_uri", "title", "text").where("source_uri IS NOT NULL").select("source_uri", words(F.col("title"), F.col("text")).alias("w"))
-    rows = rows.where(F.size(F.split("w", " ")) >= SEQUENCE).withColumn("cid", F.xxhash64("w"))
-    # copies of a text meet map-side; neither frame gathers the uris of a text in one place
-    texts = rounds.cut(rows.groupBy("cid").agg(F.first("w").alias("w")), keep=True)
-    return rows.select("cid", F.col("source_uri").alias("uri")).distinct(), near_pairs(texts)
+    rows = table(spark, d, "decision", "source_uri", "title", "text").where("source_uri IS NOT NULL").withColumn("cid", F.xxhash64("title", "text"))
+    # copies of a text meet map-side and are cut into words once; neither frame gathers the uris of a text
+    texts = rows.groupBy("cid").agg(F.first(F.struct("title", "text")).alias("t")).select("cid", words(F.col("t.title"), F.col("t.text")).alias("w"))
+    texts = rounds.cut(texts.where(F.size(F.split("w", " ")) >= SEQUENCE), keep=True)
+    members = rows.select("cid", F.col("source_uri").alias("uri")).distinct().join(texts.select("cid"), "cid", "left_semi")
+    return members, near_pairs(texts)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
