@@ -110,15 +110,59 @@ def _signatures(segments: int, values: int, length: int, seed: int, given: bool)
     return run
 
 
-def _alike(least: int) -> Column:
-    """At least ``least`` of the fields of the sketches agree."""
-    differ = F.lit(0)
-    for s in MARKS:
-        x = F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return differ <= FIELDS - least
+def paired(least: int, hot_key: int):
+    """Pairs (x, y) of the rows of one key, over batches sorted by key, whose sketches agree in ``least`` fields.
+
+    A key with more than ``hot_key`` rows gives the one row (null, key) instead. No more than a
+    batch and ``hot_key`` rows are held at a time.
+    """
+    low = np.uint64(0x1111111111111111)
+
+    def pairs(key: np.ndarray, cid: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[edge, len(key)])
+        hot = sizes > hot_key
+        keep = np.repeat((sizes > 1) & ~hot, sizes)
+        hot_at, key, cid, marks = key[edge[hot]], key[keep], cid[keep], marks[:, keep]
+        xs, ys, i, step = [], [], np.arange(len(key) - 1), 1
+        while len(i):
+            i = i[i + step < len(key)]
+            i = i[key[i] == key[i + step]]
+            j = i + step
+            differ = np.zeros(len(i), np.int64)
+            for m in marks:
+                d = m[i] ^ m[j]
+                d |= d >> np.uint64(1)
+                d |= d >> np.uint64(2)
+                differ += np.bitwise_count(d & low)
+            ok = (differ <= FIELDS - least) & (cid[i] != cid[j])
+            xs.append(np.minimum(cid[i[ok]], cid[j[ok]]))
+            ys.append(np.maximum(cid[i[ok]], cid[j[ok]]))
+            step += 1
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *xs]), np.concatenate([none, *ys]), hot_at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(x, y, hot):
+            given = np.r_[np.zeros(len(x), bool), np.ones(len(hot), bool)]
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[x, hot], mask=given), pa.array(np.r_[y, hot])], names=["x", "y"])
+
+        held = None
+        for batch in batches:
+            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cid", *MARKS)]
+            if held is not None:
+                part = [np.r_[h, p] for h, p in zip(held, part)]
+            if not len(part[0]):
+                continue
+            # the last key goes on in the next batch; of a hot one no more rows are needed than tell so
+            at = np.searchsorted(part[0], part[0][-1])
+            held = [p[at:][: hot_key + 1] for p in part]
+            if at:
+                yield out(*pairs(part[0][:at], part[1][:at], np.array([p[:at] for p in part[2:]]).view(np.uint64)))
+        if held is not None:
+            yield out(*pairs(held[0], held[1], np.array(held[2:]).view(np.uint64)))
+
+    return run
 
 
 def _least_alike(similarity: float) -> int:
@@ -166,24 +210,21 @@ def near_pairs(texts: DataFrame, *, length: int = SEQUENCE, similarity: float =
     base = texts.where(F.size(F.split("w", " ")) >= length)
     source = base.select("cid", "w")
     found = []
+    least = _least_alike(similarity)
     for level in range(LEVELS):
-        rows = source.mapInArrow(_signatures(segments, values, length, 11 + level, level > 0), "key long, cid long, " + ", ".join(f"{m} long" for m in MARKS)).repartition("key")
-        last = level == LEVELS - 1
-        counted = rows.groupBy("key").agg(F.count("*").alias("n"))
-        a, b = rows.alias("a"), rows.alias("b")
-        pairs = a.join(b, F.col("a.key") == F.col("b.key")).where((F.col("a.cid") < F.col("b.cid")) & _alike(_least_alike(similarity)))
-        if not last:
-            hot = counted.where(F.col("n") > hot_key).select("key")
-            pairs = pairs.select("a.key", F.col("a.cid").alias("x"), F.col("b.cid").alias("y")).join(hot, "key", "left_anti").select("x", "y").distinct()
-            pairs = pairs.unionByName(hot.select(F.lit(None).cast("long").alias("x"), F.col("key").alias("y")))
-        else:
-            pairs = pairs.select(F.col("a.cid").alias("x"), F.col("b.cid").alias("y")).distinct()
-        step = rounds.cut(pairs)
+        signed = source.mapInArrow(_signatures(segments, values, length, 11 + level, level > 0), "key long, cid long, " + ", ".join(f"{m} long" for m in MARKS))
+        pairs = signed.repartition("key").sortWithinPartitions("key").mapInArrow(paired(least, hot_key), "x long, y long").distinct()
+        step = rounds.cut(pairs, keep=True)
         found.append(step.where("x IS NOT NULL"))
-        hot_rows = step.where("x IS NULL").select(F.col("y").alias("key"))
-        if last or hot_rows.isEmpty():
+        hot = step.where("x IS NULL").select(F.col("y").alias("key"))
+        if hot.isEmpty():
+            break
+        rows = signed.join(hot, "key").select("key", "cid").distinct()
+        if level == LEVELS - 1:
+            # what three independent signatures keep together is alike indeed: all its pairs are verified
+            found.append(rows.alias("a").join(rows.alias("b"), "key").where("a.cid < b.cid").select(F.col("a.cid").alias("x"), F.col("b.cid").alias("y")).distinct())
             break
-        source = rounds.cut(rows.join(hot_rows, "key").select("key", "cid").distinct().join(base, "cid").select("cid", "w", "key"))
+        source = rounds.cut(rows.join(base, "cid").select("cid", "w", "key"), keep=True)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
