@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm.components import components
 from chronoweave.llm.leakage import leaks
 from chronoweave.llm.near_dup import SEQUENCE, near_pairs, words
+from chronoweave.llm.subjects import subject_areas
 from chronoweave.llm.tokenizer import encode_texts
 from chronoweave.runtime import Rounds
 from chronoweave.sources.tables import table
@@ -46,7 +47,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item", "item_id", "text"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "subject_label"), table(spark, d, "subject"))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and characters of the corpus by subject."""
+    sizes = table(spark, d, "documents", "doc_id", "n_chars")
+    return p10_found(spark, d).join(sizes, "doc_id").groupBy("subject").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_composition": p10_composition}
 
 SQL = {
     "p5_found": """
