@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from chronoweave.runtime import Rounds, broadcast_if_small
 
 #: Rounds of propagation; least documents of a word; least information of a word about the
-#: subject (nats); least lead of a sentence's first subject; sentences that make a subject one of several.
-ROUNDS, WORD_DOCS, INFORMATION, LEAD, SEVERAL = 3, 2, 0.7, 0.5, 3
+#: subject (part of the most there can be); least lead of a sentence's first subject; sentences that make a subject one of several.
+ROUNDS, WORD_DOCS, INFORMATION, LEAD, SEVERAL = 3, 2, 0.3, 0.5, 3
 #: A word's log ratio counts no less than this, so that one word can't rule a subject out.
 FLOOR = -2.0
 # Fixed value: letters with marks and what they are compared as.
@@ -42,7 +43,7 @@ def _word_table(words: DataFrame, labels: DataFrame, subjects: list[str]) -> Dat
     whole = reduce(lambda a, b: a + b, rates)
     seen = seen.select("word", "n", *[((F.col("n") * r / whole + 1.0 / k) / (F.col("n") + 1.0)).alias(f"q{i}") for i, r in enumerate(rates)])
     information = reduce(lambda a, b: a + b, [F.col(f"q{i}") * F.log(F.col(f"q{i}") * k) for i in range(k)])
-    return seen.where(information >= INFORMATION).select("word", *[F.greatest(F.log(F.col(f"q{i}") * k), F.lit(FLOOR)).alias(f"v{i}") for i in range(k)])
+    return seen.where(information >= INFORMATION * math.log(k)).select("word", *[F.greatest(F.log(F.col(f"q{i}") * k), F.lit(FLOOR)).alias(f"v{i}") for i in range(k)])
 
 
 def _document_subjects(sentences: DataFrame, table: DataFrame, subjects: list[str]) -> DataFrame:
