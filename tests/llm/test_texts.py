@@ -118,7 +118,7 @@ def test_subjects(spark):
 
     docs, labels, want = [], [], {}
     for i in range(60):
-        own = [["sport"], ["law"], ["sport", "law"]][i % 3]
+        own = ["sport", "law"] if i % 8 == 7 else [["sport"], ["law"]][i % 2]
         text = " ".join(sentence(s) for s in own for _ in range(4)) + " Nobody objected to this."
         docs.append((i, text, "c"))
         want[i] = set(own)
