@@ -80,7 +80,7 @@ def _python(path: str, text: str) -> list[tuple]:
                 if isinstance(child, ast.Call) and name_of(child.func):
                     out.append(_row(path, "edge", None, "calls", child.lineno, child.lineno, owner, name_of(child.func), True))
                 elif isinstance(child, ast.Import):
-                    out += [_row(path, "import", a.asname or a.name, "imports", child.lineno, child.lineno, owner, a.name, True) for a in child.names]
+                    out.extend(_row(path, "import", a.asname or a.name, "imports", child.lineno, child.lineno, owner, a.name, True) for a in child.names)
                 elif isinstance(child, ast.ImportFrom):
                     out.extend(_row(path, "import", a.asname or a.name, "imports", child.lineno, child.lineno, owner, f"{'.' * child.level}{child.module or ''}:{a.name}", True) for a in child.names)
                 walk(child, owner)

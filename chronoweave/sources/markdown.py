@@ -83,6 +83,6 @@ def parse_records(files: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
-    """Records of a folder tree; the reader lists files lazily and splits the work by file."""
-    files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    return parse_records(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    """Records of a folder tree, empty files too; files are listed by the reader and split among tasks."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    return parse_records(files.select("path", F.col("content").cast("string").alias("text")))
