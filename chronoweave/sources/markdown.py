@@ -83,6 +83,6 @@ def parse_records(files: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
-    """Records of a folder tree, empty files too; files are listed by the reader and split among tasks."""
+    """Records of a folder tree; files are listed by the reader and split among tasks. Files of no byte hold no record."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     return parse_records(files.select("path", F.col("content").cast("string").alias("text")))

@@ -41,7 +41,7 @@ def test_record():
 def test_reader(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs" / "0012-a.md").write_text(RECORD)
-    (tmp_path / "docs" / "0013-b.md").write_text("")
+    (tmp_path / "docs" / "0013-b.md").write_text("\n")
     (tmp_path / "docs" / "x.txt").write_text(RECORD)
     assert rows(read_records(spark, str(tmp_path)), "adr_id", "title") == [("ADR-0012", "Keep the ledger"), ("ADR-0013", None)]
 
