@@ -84,6 +84,15 @@ class Rounds:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly where a scan has fewer parts than there are cores; large scans stay as they are.
+
+    For work that costs much per row, over tables of few files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def measured_bytes(df: DataFrame, row_bytes: int) -> int:
     """Rows times a stated row size; used before a broadcast."""
     return df.count() * row_bytes
