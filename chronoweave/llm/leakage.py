@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from chronoweave.runtime import ship
+from chronoweave.runtime import ship, spread
 
 #: Least words of a passage, words per allowed edit, and least exact words in a row any passage has.
 PASSAGE, PER_EDIT, SEED = 16, 9, 6
@@ -256,7 +256,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
     heads = rows.select("i", F.split(F.trim("t"), r"\r?\n[ \t]*\r?\n", 2).alias("h"), "t")
     shared = heads.where("size(h) > 1").groupBy(F.trim(F.col("h")[0]).alias("head")).agg(F.countDistinct("i").alias("n")).where("n > 1")
     bodies = heads.withColumn("head", F.when(F.size("h") > 1, F.trim(F.col("h")[0]))).join(shared, "head", "left").select("i", F.when(F.col("n").isNotNull(), F.col("h")[1]).otherwise(F.col("t")).alias("t")).orderBy("i", "t")
-    pages = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    pages = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0))
     item_kind = to_arrow_type(items.schema[item_id].dataType)
     kinds = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(items.dtypes)[item_id]}"
     out, block, size = None, [], 0

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.runtime import Rounds, broadcast_if_small, ship
+from chronoweave.runtime import Rounds, broadcast_if_small, ship, spread
 
 #: Words of a sequence, least similarity, segments of a signature and values of a segment.
 SEQUENCE, SIMILARITY, SEGMENTS, VALUES = 3, 0.5, 16, 4
@@ -208,7 +208,7 @@ def near_pairs(texts: DataFrame, *, length: int = SEQUENCE, similarity: float =
     ship(spark)
     rounds = Rounds(spark, "near_dup")
     base = texts.where(F.size(F.split("w", " ")) >= length)
-    source = base.select("cid", "w")
+    source = spread(base.select("cid", "w"))
     found = []
     least = _least_alike(similarity)
     for level in range(LEVELS):

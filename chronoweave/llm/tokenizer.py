@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.runtime import ship
+from chronoweave.runtime import ship, spread
 
 #: Folder of the vocabulary files; a parameter of the queries.
 VOCABULARIES = "/opt/tokenizers"
@@ -180,5 +180,5 @@ def encode_texts(df: DataFrame, doc_id: str, text: str, vocabulary: str = "byte_
                     yield pa.RecordBatch.from_arrays([ids.slice(lo, i + 1 - lo), lists], names=["doc_id", "ids"])
                     lo, out, size = i + 1, [], 0
 
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = spread(df).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(df.dtypes)[doc_id]}, ids array<int>").withColumnRenamed("doc_id", doc_id)
