@@ -78,7 +78,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, *, do
     spark = docs.sparkSession
     run = Rounds(spark, "subjects")
     names = [r[0] for r in subjects.select(subject).where(F.col(subject).isNotNull()).distinct().orderBy(subject).collect()]
-    base = spread(docs.where(F.length(F.trim(text)) > 0).select(doc_id, text)).select(F.col(doc_id).alias("doc_id"), sentence_words(F.col(text)).alias("words")).where(F.size("words") > 0)
+    base = spread(docs.where(F.length(F.trim(text)) > 0).select(doc_id, text)).select(F.col(doc_id).alias("doc_id"), sentence_words(F.col(text)).alias("words"))
     base = run.cut(base, keep=True)
     words = base.select("doc_id", F.explode(F.array_distinct(F.flatten("words"))).alias("word"))
     seeds = labels.select(F.col(doc_id).alias("doc_id"), F.col(subject).alias("subject")).where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).distinct()
