@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.text import content_terms, polarity
+from chronoweave.runtime import Rounds
 
 
 def constraints(rows: DataFrame, row_id: str, text: str, keep: list[str]) -> DataFrame:
@@ -18,15 +19,37 @@ def constraints(rows: DataFrame, row_id: str, text: str, keep: list[str]) -> Dat
 
 def contradictions(found: DataFrame, group: str, row_id: str) -> DataFrame:
     """(a, b, shared, confidence): constraints of different rows of a group, of opposite polarity, that share
-    at least two content terms and half of the smaller set. Joined on group and term, so only
-    constraints with a common term ever meet."""
+    at least two content terms and half of the smaller set.
+
+    Terms are ordered from the rarest of the group to the commonest. The first term a pair shares lies
+    early enough in both orders to leave room for the others, so only those terms are joined on, the
+    pair is kept at its first shared term alone, and the commonest terms bring no pairs together. The
+    ordered sets are written once, before the joins.
+    """
     key = F.concat_ws("#", row_id, "n")
-    words = found.select(group, key.alias("c"), F.col(row_id).alias("r"), "polarity", content_terms(F.col("sentence")).alias("t")).distinct()
-    each = words.select(group, "c", "r", "polarity", F.size("t").alias("size"), F.explode("t").alias("term"))
-    a = each.where("polarity = 'must'").select(group, "term", F.col("c").alias("a"), F.col("r").alias("ra"), F.col("size").alias("sa"))
-    b = each.where("polarity = 'must_not'").select(group, "term", F.col("c").alias("b"), F.col("r").alias("rb"), F.col("size").alias("sb"))
-    pairs = a.join(b, [group, "term"]).where("ra <> rb").groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("shared"))
-    return pairs.where((F.col("shared") >= 2) & (2 * F.col("shared") >= F.least("sa", "sb"))).select("a", "b", "shared", F.lit(0.5).alias("confidence"))
+    words = found.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), key.alias("c"), F.col(row_id).alias("r"), "polarity", content_terms(F.col("sentence")).alias("t")).distinct()
+    run = Rounds(found.sparkSession, "contradictions")
+    words = run.cut(words.where(F.size("t") >= 2).withColumn("k", F.xxhash64("c", "t")))
+    each = words.select("g", "c", "k", "r", "polarity", F.explode("t").alias("term"))
+    often = each.groupBy("g", "term").agg(F.count("*").alias("often"))
+    sets = each.join(often, ["g", "term"]).groupBy("g", "c", "k", "r", "polarity").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "term"))), lambda x: x["term"]).alias("t"))
+    sets = run.cut(sets, keep=True)
+    run.drop(words)
+    size = F.size("t")
+
+    def side(polarity: str, name: str, last: Column) -> DataFrame:
+        terms = F.explode(F.slice("t", F.lit(1), last))
+        return sets.where(F.col("polarity") == polarity).select("g", F.col("c").alias(name), F.col("r").alias(f"r{name}"), F.col("t").alias(f"t{name}"), terms.alias("term"))
+
+    few, most = size + 1 - F.greatest(F.lit(2), F.ceil(size / 2).cast("int")), size - 1
+    met = [
+        side("must", "a", few).join(side("must_not", "b", most), ["g", "term"]).where("size(ta) <= size(tb)"),
+        side("must", "a", most).join(side("must_not", "b", few), ["g", "term"]).where("size(tb) < size(ta)"),
+    ]
+    both = F.array_intersect("ta", "tb")
+    pairs = met[0].unionByName(met[1]).where("ra <> rb").where(both[0] == F.col("term")).select("a", "b", F.size(both).alias("shared"), F.least(F.size("ta"), F.size("tb")).alias("least"))
+    pairs = pairs.where((F.col("shared") >= 2) & (2 * F.col("shared") >= F.col("least")))
+    return pairs.select("a", "b", F.col("shared").cast("long").alias("shared"), F.lit(0.5).alias("confidence")).distinct()
 
 
 def violations(files: DataFrame, found: DataFrame, row_id: str) -> DataFrame:

@@ -165,7 +165,12 @@ e AS (SELECT adr_id, r, c, p, len(t) AS size, unnest(t) AS term FROM c WHERE p I
 SELECT a.c AS a, b.c AS b, count(*) AS shared, CAST(0.5 AS DOUBLE) AS confidence FROM e a JOIN e b ON a.adr_id = b.adr_id AND a.term = b.term AND a.r <> b.r
 WHERE a.p = 'must' AND b.p = 'must_not' GROUP BY a.c, b.c, a.size, b.size HAVING count(*) >= 2 AND 2 * count(*) >= least(a.size, b.size)""")
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    return rules.contradictions(_constraints(spark, d), "adr_id", "source_uri")
+    """Across the decisions of a repository, whatever their parents; the SQL compares within one document version."""
+    rows = table(spark, d, "decision", "source_uri", "adr_id", "episode_id", "text").distinct()
+    docs = table(spark, d, "adr_document", F.col("id").alias("adr_id"), F.col("repo_id").alias("doc_repo")).distinct()
+    episodes = table(spark, d, "episode", F.col("id").alias("episode_id"), F.col("repo_id").alias("ep_repo")).distinct()
+    rows = rows.join(docs, "adr_id", "left").join(episodes, "episode_id", "left").select("source_uri", F.coalesce("doc_repo", "ep_repo").alias("repo_id"), "text").where("repo_id IS NOT NULL").distinct()
+    return rules.contradictions(rules.constraints(rows, "source_uri", "text", ["repo_id"]), "repo_id", "source_uri")
 
 
 @query(r"""WITH p AS (SELECT DISTINCT repo_id, adr_id, id, status, valid_to FROM adr_document), s AS (SELECT repo_id, adr_id, unnest(supersedes) AS ref FROM (SELECT DISTINCT repo_id, adr_id, supersedes FROM adr_document)),

@@ -26,7 +26,7 @@ HOPS, SEEDS = 2, 5
 
 
 class Workspace:
-    """Tools over one folder of tables. Nothing runs before the returned frame is read, but for traversals."""
+    """Tools over one folder of tables. Nothing runs before the returned frame is read, but for traversals and check_consistency."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -143,13 +143,13 @@ class Workspace:
 
     # rules and evidence
     def _constraints(self) -> DataFrame:
-        return rules.constraints(self.decisions(), "id", "text", ["parent_id"])
+        return rules.constraints(self.decisions(), "id", "text", ["repo_id"])
 
     def inspect_change(self, files: list[str]) -> DataFrame:
         return rules.violations(self.spark.createDataFrame([(f,) for f in files], "file string"), self._constraints(), "id")
 
     def check_consistency(self) -> DataFrame:
-        return rules.contradictions(self._constraints(), "parent_id", "id")
+        return rules.contradictions(self._constraints(), "repo_id", "id")
 
     def verify_claims(self) -> DataFrame:
         anchors = self.table("decision_git_link", "id", "decision_uri", "confidence").distinct().select(F.col("decision_uri").alias("source_uri"), F.coalesce(F.col("confidence") < 0.5, F.lit(False)).alias("stale"), F.lit(False).alias("relocated"))
