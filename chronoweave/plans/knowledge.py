@@ -277,8 +277,9 @@ _LP = "SELECT src AS node, arg_min(label, (-n, label)) AS label FROM (SELECT l.s
 @query(f"""WITH o AS (SELECT DISTINCT from_id AS a, to_id AS b FROM symbol_edge WHERE to_id IS NOT NULL AND edge_type IN ('calls', 'imports') AND from_id <> to_id), l AS (SELECT a AS src, b AS dst FROM o UNION SELECT b, a FROM o),
 s0 AS (SELECT DISTINCT src AS node, src AS label FROM l), s1 AS ({_LP.format(p='s0')}), s2 AS ({_LP.format(p='s1')}), s3 AS ({_LP.format(p='s2')}) SELECT node, label FROM s3""")
 def communities(spark: SparkSession, d: str) -> DataFrame:
+    """Labels after at most the reference's 20 rounds; the SQL stops after three."""
     edges = table(spark, d, "symbol_edge", "from_id", "to_id", "edge_type").where(F.col("edge_type").isin("calls", "imports"))
-    return graph.label_propagation(edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), 3)
+    return graph.label_propagation(edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), 20)
 
 
 @query("""WITH s AS (SELECT DISTINCT id, repo_id, file_path FROM symbol_span WHERE valid_from <= TIMESTAMP '{T}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{T}')),

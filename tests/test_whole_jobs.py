@@ -1,7 +1,7 @@
 """Cases in which a query once did less than its whole job."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from conftest import rows
@@ -61,3 +61,14 @@ def test_contradictions_of_random_sets(spark, seed):
             if g == h and "not" not in s and "not" in t and len(x & y) >= 2 and 2 * len(x & y) >= min(len(x), len(y)):
                 want.append((f"{a}#0", f"{b}#0", len(x & y)))
     assert rows(rules.contradictions(found, "grp", "id"), "a", "b", "shared") == sorted(want, key=repr)
+
+
+def test_communities_run_twenty_rounds(spark, data):
+    near = defaultdict(set)
+    for r in table(spark, data, "symbol_edge", "from_id", "to_id", "edge_type").where("edge_type IN ('calls', 'imports') AND to_id IS NOT NULL AND from_id <> to_id").collect():
+        near[r["from_id"]].add(r["to_id"])
+        near[r["to_id"]].add(r["from_id"])
+    labels = {n: n for n in near}
+    for _ in range(20):
+        labels = {n: min((-k, v) for v, k in Counter(labels[x] for x in near[n]).items())[1] for n in near}
+    assert rows(knowledge.communities(spark, data), "node", "label") == sorted(labels.items(), key=repr)
