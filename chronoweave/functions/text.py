@@ -72,9 +72,10 @@ def content_terms(text: Column) -> Column:
 
 
 def document_references(text: Column) -> Column:
-    """Numbers, padded to four digits, of the records a text refers to by prefix and number."""
+    """Numbers, padded to at least four digits, of the records a text refers to by prefix and number."""
     found = F.regexp_extract_all(F.upper(text), F.lit(r"(?:ADR|RFC|DR)[- ]*([0-9]+)"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda n: F.lpad(n, 4, "0")))
+    bare = F.transform(found, lambda n: F.regexp_replace(n, "^0+(?=[0-9])", ""))
+    return F.array_distinct(F.transform(bare, lambda n: F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n)))  # lpad also cuts
 
 
 def entity_key(name: Column) -> Column:

@@ -72,3 +72,13 @@ def test_communities_run_twenty_rounds(spark, data):
     for _ in range(20):
         labels = {n: min((-k, v) for v, k in Counter(labels[x] for x in near[n]).items())[1] for n in near}
     assert rows(knowledge.communities(spark, data), "node", "label") == sorted(labels.items(), key=repr)
+
+
+def test_numbers_of_five_digits_stay_whole(spark, tmp_path):
+    doc = spark.createDataFrame([(1, "r", "See ADR-10234, adr 7 and ADR-00012")], "doc_id long, repo_id string, text string")
+    assert rows(doc.select(tx.document_references(doc["text"]))) == [(["10234", "0007", "0012"],)]
+    doc.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("r", "ADR-10234"), ("r", "ADR-1023"), ("r", "ADR-0007")], "repo_id string, adr_id string").write.parquet(f"{tmp_path}/adr_document.parquet")
+    assert rows(knowledge.explicit_links(spark, str(tmp_path)), "doc_id", "adr_id") == [(1, "ADR-0007"), (1, "ADR-10234")]
+    log = spark.createDataFrame([("s", "Apply ADR-10234")], "sha string, message string")
+    assert rows(Workspace(spark, str(tmp_path)).sync_commits(log), "sha", "number") == [("s", "10234")]
