@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.text import term_frequency
-from chronoweave.runtime import ship
+from chronoweave.runtime import Rounds, ship
 
 #: Constant of reciprocal-rank fusion.
 RRF = 60
@@ -20,16 +20,34 @@ BLOCK = 4096
 
 def keyword_rank(df: DataFrame, key: str, title: str, text: str, words: list[str], k: int) -> DataFrame:
     """(key, score, rank): the k rows with most occurrences of the words in title and text, ties by key."""
-    score = term_frequency(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))), words)
-    top = df.select(F.col(key), score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+    top = keyword_scores(df, key, title, text, words).orderBy(F.desc("score"), key).limit(k)
     return ranked(top, [F.desc("score"), F.col(key)])
 
 
+def keyword_scores(df: DataFrame, key: str, title: str, text: str, words: list[str]) -> DataFrame:
+    """(key, score): occurrences of the words in title and text, of all rows that have any."""
+    score = term_frequency(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))), words)
+    return df.select(F.col(key), score.alias("score")).where("score > 0")
+
+
 def ranked(top: DataFrame, order: list[Column]) -> DataFrame:
     """Adds the rank of the rows of a short (top-k) list."""
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def ranked_whole(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds the rank of the rows of a list of any length: a sort by ranges, each range behind the rows before it.
+
+    The ranges are written once, so that they can't differ between the count and the ranks.
+    """
+    spark = df.sparkSession
+    parts = Rounds(spark, "ranked").cut(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()), keep=True)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("rank", within.cast("long")).join(F.broadcast(offsets), "_part").withColumn("rank", F.col("rank") + F.col("_before")).drop("_part", "_before")
+
+
 def fuse(lists: dict[str, DataFrame], key: str, k: int) -> DataFrame:
     """(key, score, found_by): sum of 1 / (60 + rank) over ranked lists, best k, ties by key."""
     parts = [df.select(key, "rank", F.lit(name).alias("list")) for name, df in lists.items()]

@@ -340,9 +340,11 @@ _LISTS = f"SELECT 'keyword' AS list, doc_id, row_number() OVER (ORDER BY score D
 
 
 def _lists(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Whole ranked lists; those of the SQL end at rank 50."""
     docs = table(spark, d, "documents", "doc_id", "created_at", "n_chars")
-    top = lambda c: retrieval.ranked(docs.where(F.col(c).isNotNull()).orderBy(F.desc(c), "doc_id").limit(50).select("doc_id", c), [F.desc(c), F.col("doc_id")])
-    return {"keyword": _keywords(spark, d), "newest": top("created_at"), "longest": top("n_chars")}
+    whole = lambda df, c: retrieval.ranked_whole(df.where(F.col(c).isNotNull()).select("doc_id", c), [F.desc(c), F.col("doc_id")])
+    words = retrieval.keyword_scores(table(spark, d, "documents", "doc_id", "title", "text"), "doc_id", "title", "text", WORDS)
+    return {"keyword": whole(words, "score"), "newest": whole(docs, "created_at"), "longest": whole(docs, "n_chars")}
 
 
 @query(f"SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(list, ',' ORDER BY list) AS found_by FROM ({_LISTS}) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 40")

@@ -26,7 +26,7 @@ HOPS, SEEDS = 2, 5
 
 
 class Workspace:
-    """Tools over one folder of tables. Nothing runs before the returned frame is read, but for traversals and check_consistency."""
+    """Tools over one folder of tables. Nothing runs before the returned frame is read, but for traversals, check_consistency and ranked lists."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -39,14 +39,14 @@ class Workspace:
         return view.where(in_force(instant(at)))
 
     # retrieval
-    def _ranked(self, text: str, at: str, top_k: int, depth: int, least: float) -> dict[str, DataFrame]:
+    def _ranked(self, text: str, at: str, depth: int, least: float) -> dict[str, DataFrame]:
         words = [w for w in re.split(r"[^\w]+|_", text.lower()) if len(w.encode()) >= 3]
         if not words:
             raise ValueError("the text has no term of three bytes")
         view = self.decisions(at).where(F.col("confidence") >= least)
         body = F.lower(F.concat_ws(" ", "title", "text"))
         hit = view.withColumn("score", tx.term_frequency(body, words)).where("score > 0")
-        keyword = retrieval.ranked(hit.orderBy(F.desc("score"), F.desc("confidence"), "title", "id").limit(max(top_k, SEEDS)).select("id", "score", "confidence", "title", "parent_id"), [F.desc("score"), F.desc("confidence"), F.col("title"), F.col("id")])
+        keyword = retrieval.ranked_whole(hit.select("id", "score", "confidence", "title", "parent_id"), [F.desc("score"), F.desc("confidence"), F.col("title"), F.col("id")])
         seeds = keyword.where(F.col("rank") <= SEEDS).select(F.col("parent_id").alias("node"))
         kin = view.select("id", F.col("parent_id"), "source_uri")
         bridge = self.table("decision_git_link", "decision_uri", "ref_id").distinct()
@@ -55,16 +55,16 @@ class Workspace:
         edges = linked.withColumnRenamed("parent_id", "src").join(linked.withColumnRenamed("parent_id", "dst"), "ref_id").where("src <> dst").select("src", "dst")
         near = graph.reachable(edges, seeds, min(depth, HOPS)).withColumnRenamed("node", "parent_id")
         found = kin.join(near, "parent_id").groupBy("id").agg(F.min("depth").alias("depth"))
-        graph_list = retrieval.ranked(found.orderBy("depth", "id").limit(max(top_k, SEEDS)), [F.col("depth"), F.col("id")])
+        graph_list = retrieval.ranked_whole(found, [F.col("depth"), F.col("id")])
         return {"keyword": keyword.select("id", "rank"), "graph": graph_list.select("id", "rank")}
 
     def query(self, text: str, valid_at: str = FOREVER, top_k: int = 10, graph_depth: int = 1, min_confidence: float = 0.0) -> DataFrame:
         """Decisions found by keyword and graph, fused by reciprocal ranks, with a snippet of each."""
-        fused = retrieval.fuse(self._ranked(text, valid_at, top_k, graph_depth, min_confidence), "id", top_k)
+        fused = retrieval.fuse(self._ranked(text, valid_at, graph_depth, min_confidence), "id", top_k)
         return fused.join(self.decisions(valid_at), "id").select("id", "score", "found_by", "title", "status", "confidence", tx.snippet(F.col("text"), 280).alias("snippet")).orderBy(F.desc("score"), F.desc("confidence"), "title", "id")
 
     def explain_answer(self, text: str, valid_at: str = FOREVER) -> DataFrame:
-        return retrieval.explain(self._ranked(text, valid_at, 10, 1, 0.0), "id")
+        return retrieval.explain(self._ranked(text, valid_at, 1, 0.0), "id")
 
     def propose_links(self, text: str, limit: int = 5) -> DataFrame:
         """Decisions and symbols a text may be about: scores are shares of the best term count."""

@@ -82,3 +82,28 @@ def test_numbers_of_five_digits_stay_whole(spark, tmp_path):
     assert rows(knowledge.explicit_links(spark, str(tmp_path)), "doc_id", "adr_id") == [(1, "ADR-0007"), (1, "ADR-10234")]
     log = spark.createDataFrame([("s", "Apply ADR-10234")], "sha string, message string")
     assert rows(Workspace(spark, str(tmp_path)).sync_commits(log), "sha", "number") == [("s", "10234")]
+
+
+def test_lists_are_fused_whole(spark, data):
+    docs = table(spark, data, "documents", "doc_id", "title", "text", "created_at", "n_chars").collect()
+    score = {id(r): sum(f"{r['title'] or ''} {r['text'] or ''}".lower().count(w) for w in knowledge.WORDS) for r in docs}
+    lists = {
+        "keyword": sorted((r for r in docs if score[id(r)]), key=lambda r: (-score[id(r)], r["doc_id"])),
+        "newest": sorted(sorted((r for r in docs if r["created_at"]), key=lambda r: r["doc_id"]), key=lambda r: r["created_at"], reverse=True),
+        "longest": sorted((r for r in docs if r["n_chars"] is not None), key=lambda r: (-r["n_chars"], r["doc_id"])),
+    }
+    steps = [(name, r["doc_id"], n) for name, each in lists.items() for n, r in enumerate(each, 1)]
+    assert len(steps) > 150 and rows(knowledge.explain_steps(spark, data), "step", "doc_id", "rank") == sorted(steps, key=repr)
+    total = defaultdict(float)
+    for _, doc, n in steps:
+        total[doc] += 1 / (60 + n)
+    want = sorted((-round(s, 9), doc) for doc, s in total.items())[:40]
+    assert [(-r["score"], r["doc_id"]) for r in knowledge.rrf_fusion(spark, data).collect()] == want
+
+
+def test_query_ranks_more_than_it_returns(spark, data):
+    ws = Workspace(spark, data)
+    found = ws._ranked("ledger record", "9999-12-31 23:59:59", 1, 0.0)
+    assert all(df.count() > 5 for df in found.values())
+    for df in found.values():
+        assert sorted(r["rank"] for r in df.collect()) == list(range(1, df.count() + 1))
