@@ -160,11 +160,14 @@ class Automaton:
                     found.add(k)
                 else:
                     tried.setdefault(k, []).append((end, n, last + 1))
+        at: dict[int, list[int]] = {}
         for k, seeds in tried.items():
-            spans = self.sentences[k]
-            if k in found or not 1 < len(spans) <= len(seeds) or spans[-1][1] < PASSAGE:
+            if k in found or len(self.sentences[k]) < 2:
                 continue
-            if all(any(i - n < b and a < i and self._sentence(doc, d - n, d, k, i - n, i, a, b) for d, n, i in seeds) for a, b in spans):
+            if not at:
+                for d, c in enumerate(doc):
+                    at.setdefault(c, []).append(d)
+            if all(any(i - n < b and a < i and self._sentence(doc, d - n, d, k, i - n, i, a, b) for d, n, i in seeds) or self._looked_up(doc, at, k, a, b) for a, b in self.sentences[k]):
                 found.add(k)
         return sorted(self.ids[k] for k in found)
 
@@ -193,6 +196,16 @@ class Automaton:
         n = i1 - i0
         return any(n + x + y + (most - e - f) >= b - a for e, x in enumerate(left) for f, y in enumerate(right) if e + f <= most)
 
+    def _looked_up(self, doc: list[int], at: dict[int, list[int]], k: int, a: int, b: int) -> bool:
+        """The same for a sentence without a seed. Of one part more than it may have edits, one is exact."""
+        seq, parts = self.sequences[k], (b - a) // PER_EDIT + 1
+        cuts = [a + (b - a) * j // parts for j in range(parts + 1)]
+        for x, y in zip(cuts, cuts[1:]):
+            for d in at.get(seq[x], ()):
+                if doc[d : d + y - x] == seq[x:y] and self._sentence(doc, d, d + y - x, k, x, y, a, b):
+                    return True
+        return False
+
 
 def reach(doc: list[int], d: int, d_end: int, step: int, seq: list[int], i: int, i_end: int, most: int) -> list[int]:
     """Words of the item passed from (d, i) in direction ``step`` with 0, 1, .. ``most`` edits, ending on a match.
@@ -242,7 +255,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
 
     A passage is PASSAGE or more words of the item in a row of which at most one in PER_EDIT is
     changed, added or left out, or all sentences of the item in any order, each within that
-    measure. Case, punctuation, markup, layout and Unicode forms don't matter. A first paragraph
+    measure, if SEED words of the item stand in a row. Case, punctuation, markup, layout and Unicode forms don't matter. A first paragraph
     that several items share is an instruction and no own wording. Every passage has SEED exact
     words in a row, so each longest match of that length is extended both ways.
 
