@@ -78,6 +78,9 @@ class Automaton:
         for v, up in enumerate(self.link):
             if up >= 0:
                 self.children[up].append(v)
+        self.count = [len(e) for e in self.ends]  # occurrences of a state's sequence
+        for v in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
+            self.count[self.link[v]] += self.count[v]
         self.seen: dict[int, list[tuple[int, int]]] = {}
 
     def _state(self, length: int, link: int, nxt: dict[int, int]) -> int:
@@ -122,27 +125,30 @@ class Automaton:
         return found
 
     def seeds(self, doc: list[int]) -> Iterator[tuple[int, int, int]]:
-        """(end, length, state) of the longest matches of at least SEED words, where they end."""
-        nxt, link, length = self.next, self.link, self.length
+        """(end, length, state) of the matches of at least SEED words that don't go on at every occurrence.
+
+        Besides the longest match also those of its end that more items hold, so that the longest
+        match of each single item is among them.
+        """
+        nxt, link, length, count = self.next, self.link, self.length, self.count
         v = n = 0
-        for p, c in enumerate(doc):
-            to = nxt[v].get(c)
-            if to is not None:
-                v = to
-                n += 1
-                continue
-            if n >= SEED:
-                yield p, n, v
+        for p, c in enumerate([*doc, -1]):
+            w, m = v, n
+            while m >= SEED:
+                to = nxt[w].get(c)
+                if to is None or count[to] < count[w]:
+                    yield p, m, w
+                w = link[w]
+                m = length[w]
             while v and c not in nxt[v]:
                 v = link[v]
+                n = length[v]
             to = nxt[v].get(c)
             if to is None:
                 v = n = 0
             else:
-                n = min(n, length[v]) + 1
                 v = to
-        if n >= SEED:
-            yield len(doc), n, v
+                n += 1
 
     def leaked(self, text: str) -> list[int]:
         """Ids of the items of whose wording the text holds a passage."""
@@ -154,7 +160,7 @@ class Automaton:
         tried: dict[int, list[tuple[int, int, int]]] = {}
         for end, n, state in self.seeds(doc):
             for k, last in self.places(state):
-                if k in found:
+                if k in found or self._goes_on(doc, end, n, k, last + 1):
                     continue
                 if n >= PASSAGE or self._passage(doc, end - n, end, k, last + 1 - n, last + 1):
                     found.add(k)
@@ -171,6 +177,11 @@ class Automaton:
                 found.add(k)
         return sorted(self.ids[k] for k in found)
 
+    def _goes_on(self, doc: list[int], end: int, n: int, k: int, i: int) -> bool:
+        """Whether the match is part of a longer one with the same item."""
+        seq = self.sequences[k]
+        return (end < len(doc) and i < len(seq) and doc[end] == seq[i]) or (end > n and i > n and doc[end - n - 1] == seq[i - n - 1])
+
     def _passage(self, doc: list[int], d0: int, d1: int, k: int, i0: int, i1: int) -> bool:
         # a passage of twice PASSAGE words has a half that is one itself, so longer ones need no search
         seq, most = self.sequences[k], (2 * PASSAGE - 1) // PER_EDIT
