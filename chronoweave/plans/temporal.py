@@ -9,6 +9,7 @@ from chronoweave.functions.text import content_hash
 from chronoweave.operators import temporal as op
 from chronoweave.operators.integrity import natural_key, surplus, verdict
 from chronoweave.sources.tables import table
+from chronoweave.streaming.incremental import upsert_latest
 
 T, T0, T1 = "2023-06-01 00:00:00", "2022-03-01 00:00:00", "2022-09-01 00:00:00"
 QUERIES: dict = {}
@@ -208,11 +209,14 @@ def multiset_surplus(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'clean' AS verdict, CAST(0 AS BIGINT) AS keys")
 def incremental_equals_full(spark: SparkSession, d: str) -> DataFrame:
-    """Counts kept by increments before and after an instant, against the counts over all rows."""
+    """The last row per episode, kept from rows before an instant by applying the later ones, against that over all rows."""
     rows = table(spark, d, "episode", "repo_id", "source", "id", "ingested_at").distinct()
-    facts = rows.select(natural_key(F.col("repo_id"), F.col("source"), F.col("id")).alias("key"), "ingested_at")
-    early, late = facts.where(F.col("ingested_at") < op.instant(T)), facts.where(F.col("ingested_at") >= op.instant(T))
-    return verdict(surplus(early.unionByName(late), facts, "key"))
+    late, order = F.coalesce(F.col("ingested_at") >= op.instant(T), F.lit(False)), ["ingested_at", "repo_id", "source"]
+    state = op.latest(rows.where(~late), ["id"], [F.col(c) for c in order])
+    kept = upsert_latest(state, rows.where(late), ["id"], order)
+    full = rows.groupBy("id").agg(F.max(F.struct(*order)).alias("last")).select("id", "last.*")
+    key = natural_key(*[F.col(c) for c in ("id", *order)]).alias("key")
+    return verdict(surplus(kept.select(key), full.select(key), "key"))
 
 
 @query(r"""WITH v AS (SELECT DISTINCT source_uri, sha256(trim(regexp_replace(coalesce(title, '') || ' ' || text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS h, valid_from, ingested_at, id FROM decision)

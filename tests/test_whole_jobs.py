@@ -8,7 +8,7 @@ from conftest import rows
 
 from chronoweave.functions import text as tx
 from chronoweave.operators import rules
-from chronoweave.plans import knowledge
+from chronoweave.plans import knowledge, temporal
 from chronoweave.plans.tools import Workspace
 from chronoweave.sources.tables import table
 
@@ -107,3 +107,9 @@ def test_query_ranks_more_than_it_returns(spark, data):
     assert all(df.count() > 5 for df in found.values())
     for df in found.values():
         assert sorted(r["rank"] for r in df.collect()) == list(range(1, df.count() + 1))
+
+
+def test_a_wrong_increment_is_found(spark, data, monkeypatch):
+    assert temporal.incremental_equals_full(spark, data).first()["verdict"] == "clean"
+    monkeypatch.setattr(temporal, "upsert_latest", lambda state, batch, keys, recorded: state)
+    assert temporal.incremental_equals_full(spark, data).first()["verdict"] == "divergent"
