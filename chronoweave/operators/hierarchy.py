@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from chronoweave.runtime import SLICE_ROWS, Rounds, carried_next, slice_hot
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from chronoweave.runtime import BROADCAST_BYTES, SLICE_ROWS, Rounds, broadcast_if_small, carried_next, ship, slice_hot
 
 #: Joins a round makes before its table is written: with n of them a jump grows (n + 1)-fold a round.
 HOPS = 3
+#: Bytes a pointer takes as the small side of a join.
+POINTER_BYTES = 96
 
 
 def reference_number(ref: Column) -> Column:
@@ -23,50 +27,58 @@ def reference_number(ref: Column) -> Column:
     return F.when(digits != "", F.regexp_replace(digits, r"^0+(?=[0-9])", ""))
 
 
-def _peel(rounds: Rounds, parent: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Splits nodes into those of the forest and (node, cycle entry), peeling 4^k layers of leaves after k rounds.
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    """Pointers as one side of a join: broadcast where their counted rows fit."""
+    return F.broadcast(df) if rows * POINTER_BYTES <= BROADCAST_BYTES else df
+
+
+def _peel(rounds: Rounds, parent: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Splits the nodes of (node, up) into the forest (node) and, if any, (node, entry on a cycle).
 
-    ``jump`` is the node's 4^k-th ancestor. The jumps still left after k rounds are what peeling
-    leaves 4^k times leaves over. Depths have no gaps, so once neither the nodes left nor their
-    images get fewer, the images are the nodes on cycles.
+    A round peels four times as many layers as the one before: ``jump`` is the node's 4^k-th
+    ancestor, and nodes without one hang from a root. Depths have no gaps, so once a round settles
+    no node the rest hangs from cycles. The images of the rest shrink as leaves are peeled; once
+    they don't, they are the nodes on cycles.
     """
-    state = rounds.cut(parent.select("node", F.col("parent").alias("jump")))
-    seen = (-1, -1)
+    state = rounds.cut(parent.select("node", F.col("up").alias("jump")))
+    left = -1
     while True:
-        left = state.where("jump IS NOT NULL")
-        now = tuple(left.agg(F.count("*"), F.countDistinct("jump")).first())
-        if now[0] == 0 or now == seen:
+        rest = state.where("jump IS NOT NULL")
+        before, left = left, rest.count()
+        if left in (0, before):
             break
-        seen = now
-        up = state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"))
+        up = _side(state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump")), rows)
         for _ in range(HOPS):
-            left = left.join(up, "jump", "left").select("node", F.col("_jump").alias("jump"))
-        fresh = rounds.cut(state.where("jump IS NULL").unionByName(left))
+            rest = rest.join(up, "jump", "left").select("node", F.col("_jump").alias("jump"))
+        fresh = rounds.cut(state.where("jump IS NULL").unionByName(rest))
         rounds.drop(state)
         state = fresh
-    return state.where("jump IS NULL").select("node"), state.where("jump IS NOT NULL").select("node", F.col("jump").alias("entry"))
-
-
-def _paths(rounds: Rounds, forest: DataFrame) -> DataFrame:
-    """(node, line): the nodes and names from the root down to the node, by doubling jumps."""
-    state = rounds.cut(forest.select("node", F.col("parent").alias("jump"), F.array(F.struct("node", "name")).alias("line")))
-    while not state.where("jump IS NOT NULL").isEmpty():
-        up = state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("line").alias("_line"))
-        moved = state.where("jump IS NOT NULL")
-        for _ in range(HOPS):
-            moved = moved.join(up, "jump", "left").select("node", F.col("_jump").alias("jump"), F.when(F.col("_line").isNull(), F.col("line")).otherwise(F.concat("_line", "line")).alias("line"))
-        fresh = rounds.cut(state.where("jump IS NULL").unionByName(moved))
+    forest = rounds.cut(state.where("jump IS NULL").select("node"), keep=True) if left else parent.select("node")
+    if not left:
         rounds.drop(state)
-        state = fresh
-    return state.select("node", "line")
+        return forest, None
+    ring, images = rounds.cut(state.where("jump IS NOT NULL")), -1
+    rounds.drop(state)
+    while True:
+        before, images = images, ring.agg(F.countDistinct("jump")).first()[0]
+        if images == before:
+            return forest, ring.select("node", F.col("jump").alias("entry"))
+        up, step = _side(ring.select(F.col("node").alias("jump"), F.col("jump").alias("_jump")), left), ring
+        for _ in range(HOPS):
+            step = step.join(up, "jump").select("node", F.col("_jump").alias("jump"))
+        fresh = rounds.cut(step)
+        rounds.drop(ring)
+        ring = fresh
 
 
 def _cycle_names(rounds: Rounds, parent: DataFrame, cyclic: DataFrame) -> DataFrame:
     """(node, on_cycle, root): the smallest name on the cycle each node lies on or leads into."""
     on = cyclic.select(F.col("entry").alias("node")).distinct()
-    ring = rounds.cut(parent.join(on, "node", "left_semi").select("node", F.col("parent").alias("jump"), F.col("name").alias("low")))
+    ring = rounds.cut(parent.join(on, "node", "left_semi").select("node", F.col("up").alias("jump"), F.col("name").alias("low")))
+    rows = ring.count()
     while True:
         ahead = ring.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("low").alias("_low"))
+        ahead = broadcast_if_small(ahead, 2 * POINTER_BYTES) if rows * POINTER_BYTES <= BROADCAST_BYTES else ahead
         turned = ring.select("node", "jump", "low", F.lit(False).alias("moved"))
         for _ in range(HOPS):
             turned = turned.join(ahead, "jump").select("node", F.col("_jump").alias("jump"), F.least("low", "_low").alias("low"), (F.col("moved") | (F.col("_low") < F.col("low"))).alias("moved"))
@@ -81,47 +93,82 @@ def _cycle_names(rounds: Rounds, parent: DataFrame, cyclic: DataFrame) -> DataFr
     return cyclic.join(lows, "entry").join(marked, "node", "left").select("node", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), "root")
 
 
-def euler_tour(rounds: Rounds, forest: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """(node, root, depth, entry, exit) of a forest (node, parent; roots have none).
+def euler_tour(rounds: Rounds, forest: DataFrame, rows: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(node, root, first, last) of a forest (node, up; numbers, roots have no up).
 
-    Each node has an arc down into it and one up out of it. The arcs of a tree form a list: down to
-    the first child, from a child up and down to the next, at last up. Ranking the list by pointer
-    jumping, with +1 for down and -1 for up, gives the position of each arc and the depth.
+    Each node has an arc down into it (2 * node) and one up out of it (2 * node + 1). The arcs of
+    a tree form a list: down to the first child, from a child up and down to the next, at last up.
+    Ranking the list by pointer jumping gives the position of each arc, counted from the end of the
+    tour: ``first`` of the arc down, ``last`` of that up; x lies under y if first and last of x lie
+    between those of y. The arc at the end names the root.
     """
-    kids = forest.where("parent IS NOT NULL").select("node", "parent")
-    kids, hot = slice_hot(kids, ["parent"], "node", slice_rows)
-    kids = carried_next(kids, ["parent"], ["node"], F.col("node"), "sibling", hot)
-    first = kids.groupBy("parent").agg(F.min("node").alias("child")).withColumnRenamed("parent", "node")
-    down = forest.select("node", "parent").join(first, "node", "left").select(
-        F.concat(F.lit("d"), "node").alias("arc"), F.coalesce(F.concat(F.lit("d"), "child"), F.concat(F.lit("u"), "node")).alias("next"), F.lit(1).cast("long").alias("weight")
-    )
-    up = forest.select("node", "parent").join(kids.select("node", "sibling"), "node", "left").select(
-        F.concat(F.lit("u"), "node").alias("arc"), F.coalesce(F.concat(F.lit("d"), "sibling"), F.concat(F.lit("u"), "parent")).alias("next"), F.lit(-1).cast("long").alias("weight")
-    )
-    # ``hops`` and ``weight`` cover the arcs from this one up to, not including, ``next``; ``tail`` is the last arc passed
-    ranks = rounds.cut(down.unionByName(up).select("arc", "next", F.lit(1).cast("long").alias("hops"), "weight", F.col("arc").alias("tail")))
+    kids, hot = slice_hot(forest.where("up IS NOT NULL"), ["up"], "node", slice_rows)
+    kids = carried_next(kids, ["up"], ["node"], F.col("node"), "sibling", hot)
+    none = F.lit(None).cast("long")
+    child = forest.select("node", none.alias("child")).unionByName(forest.where("up IS NOT NULL").select(F.col("up").alias("node"), F.col("node").alias("child")))
+    down = child.groupBy("node").agg(F.min("child").alias("child")).select((2 * F.col("node")).alias("arc"), F.coalesce(2 * F.col("child"), 2 * F.col("node") + 1).alias("next"))
+    up = kids.select((2 * F.col("node") + 1).alias("arc"), F.coalesce(2 * F.col("sibling"), 2 * F.col("up") + 1).alias("next"))
+    end = forest.where("up IS NULL").select((2 * F.col("node") + 1).alias("arc"), none.alias("next"))
+    # ``hops`` counts the arcs from this one up to, not including, ``next``; ``tail`` is the last arc passed
+    ranks = rounds.cut(down.unionByName(up).unionByName(end).select("arc", "next", F.lit(1).cast("long").alias("hops"), F.col("arc").alias("tail")))
     while not ranks.where("next IS NOT NULL").isEmpty():
-        ahead = ranks.select(F.col("arc").alias("next"), F.col("next").alias("_next"), F.col("hops").alias("_hops"), F.col("weight").alias("_weight"), F.col("tail").alias("_tail"))
-        jumped, none = ranks.where("next IS NOT NULL"), F.lit(0).cast("long")
+        ahead = _side(ranks.select(F.col("arc").alias("next"), F.col("next").alias("_next"), F.col("hops").alias("_hops"), F.col("tail").alias("_tail")), 2 * rows)
+        jumped = ranks.where("next IS NOT NULL")
         for _ in range(HOPS):
-            jumped = jumped.join(ahead, "next", "left").select(
-                "arc", F.col("_next").alias("next"), (F.col("hops") + F.coalesce("_hops", none)).alias("hops"),
-                (F.col("weight") + F.coalesce("_weight", none)).alias("weight"), F.coalesce("_tail", "tail").alias("tail"),
-            )
+            jumped = jumped.join(ahead, "next", "left").select("arc", F.col("_next").alias("next"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.coalesce("_tail", "tail").alias("tail"))
         fresh = rounds.cut(ranks.where("next IS NULL").unionByName(jumped))
         rounds.drop(ranks)
         ranks = fresh
-    # hops counts from the end of the list: the root's down arc has the most; the weights from a
-    # node's down arc to the end sum up to minus its depth
-    node = F.expr("substring(arc, 2)")
-    by_node = ranks.groupBy(node.alias("node")).agg(
-        F.max(F.when(F.col("arc").startswith("d"), F.col("hops"))).alias("_in"),
-        F.max(F.when(F.col("arc").startswith("u"), F.col("hops"))).alias("_out"),
-        F.max(F.when(F.col("arc").startswith("d"), -F.col("weight"))).alias("depth"),
-        F.max(F.expr("substring(tail, 2)")).alias("root"),
-    )
-    size = by_node.where("depth = 0").select("root", F.col("_in").alias("_size"))
-    return by_node.join(size, "root").select("node", "root", "depth", (F.col("_size") - F.col("_in")).alias("entry"), (F.col("_size") - F.col("_out")).alias("exit"))
+    return ranks.groupBy(F.expr("arc DIV 2").alias("node")).agg(
+        (F.max("tail") - 1).cast("long").alias("_root"), F.max(F.when(F.col("arc") % 2 == 0, F.col("hops"))).alias("first"), F.max(F.when(F.col("arc") % 2 == 1, F.col("hops"))).alias("last")
+    ).select("node", F.expr("_root DIV 2").alias("root"), "first", "last")
+
+
+_READ = "root_name string, depth long, path string, entry long, exit long, descendants long, ancestors array<string>"
+
+
+def _read_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Depth, path and ancestors of rows sorted by tree, slice and position: the intervals open at a row are its ancestors.
+
+    Only the open intervals are held, from batch to batch. Carried rows open their interval and give no row.
+    """
+    tree, total, open_to, keys, names = None, 0, [], [], []
+    for batch in batches:
+        root, part, first, last, key, name, carried = (batch.column(c).to_pylist() for c in ("root", "_slice", "first", "last", "key", "name", "carried"))
+        at, out = [], []
+        for i in range(batch.num_rows):
+            if (root[i], part[i]) != tree:
+                tree, total, open_to, keys, names = (root[i], part[i]), first[i], [], [], []
+            while open_to and open_to[-1] >= first[i]:
+                open_to.pop(), keys.pop(), names.pop()
+            if not carried[i]:
+                at.append(i)
+                out.append((names[0] if names else name[i], len(keys), "/".join([*names, name[i]]), total - first[i], total - last[i], (first[i] - last[i] - 1) // 2, list(keys)))
+            open_to.append(last[i]), keys.append(key[i]), names.append(name[i])
+        columns = list(zip(*out)) if out else [()] * 7
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key").take(pa.array(at, pa.int64())), batch.column("name").take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+            names=["node", "name", *[f.split()[0] for f in _READ.split(", ")]],
+        )
+
+
+def read_intervals(tour: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(node, name, root_name, depth, path, entry, exit, descendants, ancestors) from (root, first, last, key, name).
+
+    Trees are spread over the tasks by their root. A tree of more than ``slice_rows`` arcs is cut at
+    multiples of that along its tour; nodes whose interval crosses a cut are carried into the slices
+    they reach. Those at one cut are ancestors of the next node, so they are no more than its path.
+    """
+    ship(tour.sparkSession)
+    big = tour.where(f"key IS NOT NULL AND node = root AND first > {slice_rows}").select("root", F.col("first").alias("_total"))
+    big = broadcast_if_small(big, 48)
+    cut = lambda c: F.floor((F.col("_total") - F.col(c)) / slice_rows).cast("int")
+    rows = tour.join(big, "root", "left").select("root", "first", "last", "key", "name", F.coalesce(cut("first"), F.lit(-1)).alias("_slice"), F.coalesce(cut("last"), F.lit(-1)).alias("_end"))
+    own = rows.withColumn("carried", F.lit(False)).drop("_end")
+    over = rows.where("_end > _slice").withColumn("_slice", F.explode(F.sequence(F.col("_slice") + 1, F.col("_end")))).withColumn("carried", F.lit(True)).drop("_end")
+    sorted_rows = own.unionByName(over).repartition("root", "_slice").sortWithinPartitions("root", "_slice", F.desc("first"))
+    return sorted_rows.mapInArrow(_read_intervals, "node string, name string, " + _READ)
 
 
 def hierarchy(links: DataFrame, nodes: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -135,36 +182,33 @@ def hierarchy(links: DataFrame, nodes: DataFrame, slice_rows: int = SLICE_ROWS)
     cycle of one. A node's descendants are the nodes of its root whose entry lies between its
     entry and exit; their number is (exit - entry - 1) / 2.
 
-    Root, depth, intervals and descendants come from the tour. The list of ancestors grows by
-    doubling jumps: to read it off the intervals would gather a hot tree in one task.
+    Nodes are numbered once; leaves are peeled until cycles are left; Euler tours of the rest are
+    ranked, and depth, path, ancestors and descendants are read off the intervals.
     """
     rounds = Rounds(links.sparkSession, "hierarchy")
     nodes = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("name").alias("name"))
     up = nodes.select(F.col("node").alias("parent"), F.col("name").alias("_pname"))
     known = links.distinct().join(up, "parent").join(nodes.select(F.col("node").alias("child")), "child", "left_semi")
-    one = known.groupBy("child").agg(F.min(F.struct("_pname", "parent")).alias("p")).select(F.col("child").alias("node"), F.col("p.parent").alias("parent"))
-    linked = one.select("node").union(one.select(F.col("parent").alias("node"))).distinct()
-    parent = rounds.cut(linked.join(one, "node", "left").join(nodes, "node").select("node", "parent", "name"), keep=True)
-    trees, cyclic = _peel(rounds, parent)
-    forest = rounds.cut(parent.join(trees, "node"), keep=True)
-    tour = euler_tour(rounds, forest, slice_rows)
-    paths = _paths(rounds, forest)
-    names = parent.select(F.col("node").alias("root"), F.col("name").alias("root_name"))
-    trees = (
-        forest.join(tour, "node").join(names, "root").join(paths, "node")
-        .select(
-            "node", "name", "root_name", "depth", F.array_join("line.name", "/").alias("path"), "entry", "exit",
-            ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("descendants"), F.expr("slice(line.node, 1, size(line) - 1)").alias("ancestors"),
-        )
-    )
+    one = rounds.cut(known.groupBy("child").agg(F.min(F.struct("_pname", "parent")).alias("p")).select(F.col("child").alias("key"), F.col("p.parent").alias("up_key")))
+    linked = one.select("key").union(one.select(F.col("up_key").alias("key"))).distinct()
+    numbered = rounds.cut(linked.join(one, "key", "left").join(nodes.withColumnRenamed("node", "key"), "key").withColumn("node", F.monotonically_increasing_id()))
+    rows = numbered.count()
+    parent = rounds.cut(numbered.join(_side(numbered.select(F.col("key").alias("up_key"), F.col("node").alias("up")), 2 * rows), "up_key", "left").select("node", "up", "key", "name"), keep=True)
+    rounds.drop(one, numbered)
+    trees, cyclic = _peel(rounds, parent, rows)
+    forest = parent if cyclic is None else parent.join(trees, "node")
+    tour = euler_tour(rounds, forest.select("node", "up"), rows, slice_rows)
+    out = read_intervals(tour.join(parent.select("node", "key", "name"), "node"), slice_rows)
+    if cyclic is None:
+        return out
+    rings = _cycle_names(rounds, parent, cyclic).join(parent.select("node", "key", "name"), "node")
     none = F.lit(None).cast("long")
-    rings = _cycle_names(rounds, parent, rounds.cut(cyclic)) if not cyclic.isEmpty() else None
-    if rings is None:
-        return trees
-    rings = rings.join(parent.select("node", "name"), "node").select(
-        "node", "name", F.col("root").alias("root_name"), F.when(F.col("on_cycle"), -1).otherwise(-2).cast("long").alias("depth"), F.lit("").alias("path"), none.alias("entry"), none.alias("exit"), none.alias("descendants"), F.array().cast("array<string>").alias("ancestors")
+    return out.unionByName(
+        rings.select(
+            F.col("key").alias("node"), "name", F.col("root").alias("root_name"), F.when(F.col("on_cycle"), -1).otherwise(-2).cast("long").alias("depth"), F.lit("").alias("path"),
+            none.alias("entry"), none.alias("exit"), none.alias("descendants"), F.array().cast("array<string>").alias("ancestors"),
+        )
     )
-    return trees.unionByName(rings)
 
 
 def descendants(tree: DataFrame) -> DataFrame:

@@ -12,9 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Items the heavy-hitter sketch tracks, and the most it reports. Any key that holds more than
-#: about 1.4 / TRACKED of the rows is certain to be reported; the result is bounded by REPORTED.
+#: Items a heavy-hitter sketch tracks, and the most it reports. Any key that holds more than about
+#: 1.4 / TRACKED of a sketch's rows is certain to be reported.
 TRACKED, REPORTED = 10_000, 4_000
+#: Most slices of one key.
+SLICES = 10_000
 #: Rows of one key that a single task may hold before the key is cut into slices.
 SLICE_ROWS = 200_000
 #: Bytes up to which a side may be broadcast, after its size was measured.
@@ -22,12 +24,18 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``; a local one is made only where it is unset."""
+    """Folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local folder is made, but only with a local master: on a cluster each
+    executor would write to its own disk and rows would be lost on reading back.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -104,55 +112,76 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
 
 
 def hot_keys(df: DataFrame, key: Column, slice_rows: int = SLICE_ROWS) -> list:
-    """Keys with more than ``slice_rows`` rows, from one mergeable sketch (no shuffle of keys).
+    """Keys with more than ``slice_rows`` rows, from mergeable sketches (no shuffle of keys).
 
-    At most REPORTED values come to the driver. Nulls are never reported.
+    One sketch is certain to see such keys among REPORTED * ``slice_rows`` rows; larger tables take
+    one sketch per bucket of keys. There are no more such keys than rows / ``slice_rows``. Nulls
+    are never reported.
     """
-    k = min(REPORTED, TRACKED)
-    row = df.select(key.alias("k")).where("k IS NOT NULL").select(F.expr(f"approx_top_k(k, {k}, {TRACKED})").alias("top")).first()
-    return [r["item"] for r in (row["top"] if row and row["top"] else []) if r["count"] > slice_rows]
+    given = df.select(key.alias("k")).where("k IS NOT NULL")
+    top = F.expr(f"approx_top_k(k, {REPORTED}, {TRACKED})").alias("top")
+    row = given.select(top, F.count("*").alias("n")).first()
+    buckets = -(-row["n"] // (REPORTED // 2 * slice_rows))
+    if buckets <= 1:
+        return [r["item"] for r in row["top"] or [] if r["count"] > slice_rows]
+    tops = given.groupBy(F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b")).agg(top).select(F.explode("top").alias("t"))
+    return [r[0] for r in tops.where(F.col("t.count") > slice_rows).select("t.item").collect()]
+
+
+def quantile_cuts(n: int, quantiles: list | None, slice_rows: int) -> list:
+    """Bounds that cut ``n`` rows with the given evenly spaced quantiles into slices of about ``slice_rows``."""
+    q = [x for x in (quantiles or []) if x is not None]
+    parts = min(len(q) + 1, max(1, -(-n // slice_rows)))
+    return sorted({q[min(len(q) - 1, max(0, round((len(q) + 1) * i / parts) - 1))] for i in range(1, parts)})
+
+
+def quantile_grid(parts: int) -> str:
+    """The array of fractions for approx_percentile that allows up to ``parts`` slices, 200 at least."""
+    steps = min(SLICES, max(200, 2 * parts))
+    return "array(" + ", ".join(f"{i / steps:.6f}D" for i in range(1, steps)) + f"), {10 * max(2000, steps)}"
 
 
 def slice_hot(df: DataFrame, key: Sequence[str], order: str, slice_rows: int = SLICE_ROWS, probe: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """Adds ``_slice``: -1 for ordinary keys; for hot keys the number of the range of ``order`` a row lies in.
 
-    Slices are cut at approximate quantiles of ``order`` (equal values share a slice, at most 200
-    slices a key), so that windows over (key, _slice) stay bounded; the carried_* functions below
-    take what crosses the edge of a slice from a summary of one row per slice. ``probe`` is a
-    cheaper frame with the same key columns to look for hot keys in (the rows before a shuffle).
-    The second result tells whether any key is hot.
+    Slices are cut at approximate quantiles of ``order`` (equal values share a slice, so callers
+    make ``order`` distinct within a key; at most SLICES slices a key), so that windows over
+    (key, _slice) stay bounded; the carried_* functions below take what crosses the edge of a slice
+    from a summary of one row per slice. ``order`` is a number or a time. ``probe`` is a cheaper
+    frame with the same key columns to look for hot keys in (the rows before a shuffle). The second
+    result tells whether any key is hot.
     """
     code = F.xxhash64(*[F.col(c) for c in key])
     hot = hot_keys(df if probe is None else probe, code, slice_rows)
     if not hot:
         return df.withColumn("_slice", F.lit(-1)), False
-    grid = ", ".join(f"{i / 200:.3f}D" for i in range(1, 200))
+    spark = df.sparkSession
     at = f"CAST({order} AS TIMESTAMP)" if dict(df.dtypes)[order] == "timestamp_ntz" else order
-    rows = (
-        df.where(code.isin(hot))
-        .groupBy(code.alias("_code"))
-        .agg(F.count("*").alias("n"), F.expr(f"approx_percentile({at}, array({grid}), 20000)").alias("q"))
-        .collect()
-    )  # one row per hot key, at most REPORTED
-    cuts = []
-    for r in rows:
-        parts = min(200, -(-r["n"] // slice_rows))
-        q = [x for x in (r["q"] or []) if x is not None]
-        cuts.append((r["_code"], sorted({q[min(len(q) - 1, max(0, round(200 * i / parts) - 1))] for i in range(1, parts)}) if q else []))
+    marked = df.withColumn("_code", code)
+    few = broadcast_list(spark, [(h,) for h in hot], "_code long", 16)
+    held = marked.join(few, "_code", "left_semi")
+    most = held.groupBy("_code").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    rows = held.groupBy("_code").agg(F.count("*").alias("n"), F.expr(f"approx_percentile({at}, {quantile_grid(-(-most // slice_rows))})").alias("q")).collect()  # one row per hot key
     kind = "timestamp" if at != order else dict(df.dtypes)[order]
-    table = F.broadcast(df.sparkSession.createDataFrame(cuts, f"_code long, _cuts array<{kind}>"))
+    cuts = [(r["_code"], quantile_cuts(r["n"], r["q"], slice_rows)) for r in rows]
+    table = broadcast_list(spark, cuts, f"_code long, _cuts array<{kind}>", 16 + 8 * max((len(c) for _, c in cuts), default=0))
     sliced = (
-        df.withColumn("_code", code)
-        .join(table, "_code", "left")
+        marked.join(table, "_code", "left")
         .withColumn("_slice", F.when(F.col("_cuts").isNull(), -1).otherwise(F.coalesce(F.expr(f"size(filter(_cuts, c -> c < {at}))"), F.lit(0))))
         .drop("_code", "_cuts")
     )
     return sliced, True
 
 
+def broadcast_list(spark: SparkSession, rows: list, schema: str, row_bytes: int) -> DataFrame:
+    """A frame of driver rows, marked for broadcast while its size allows."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) * row_bytes <= BROADCAST_BYTES else df
+
+
 def _with_edges(df: DataFrame, key: Sequence[str], summary: DataFrame) -> DataFrame:
-    """Joins the one-row-per-slice summary of the hot keys (at most REPORTED x 200 rows)."""
-    return df.join(F.broadcast(summary), [*key, "_slice"], "left")
+    """Joins the one-row-per-slice summary of the hot keys, by broadcast where its counted rows fit."""
+    return df.join(broadcast_if_small(summary, 256), [*key, "_slice"], "left")
 
 
 def carried_sum(df: DataFrame, key: Sequence[str], order: Sequence, value: str, out: str, hot: bool) -> DataFrame:

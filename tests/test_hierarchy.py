@@ -52,3 +52,14 @@ def test_hot_parent_is_sliced(spark):
     got = hierarchy(spark.createDataFrame(links, KEYS), nodes, slice_rows=10).collect()
     assert len(got) == 61 and {r["depth"] for r in got} == {0, 1}
     assert sorted(x for r in got for x in (r["entry"], r["exit"])) == list(range(122))
+
+
+def test_hot_parent_of_text_keys_equals_the_unsliced_result(spark):
+    links = [(f"repo|{i}", "repo|0") for i in range(1, 30)] + [(f"repo|{i + 30}", f"repo|{i}") for i in range(1, 25)] + [(f"repo|{i + 60}", f"repo|{i + 59}") for i in range(1, 20)]
+    nodes = spark.createDataFrame([(f"repo|{i}", f"{i:03d}") for i in range(90)], "node string, name string")
+    df = spark.createDataFrame(links, KEYS)
+    columns = ["node", "root_name", "depth", "path", "descendants"]
+    whole = hierarchy(df, nodes)
+    assert rows(hierarchy(df, nodes, slice_rows=5), *columns) == rows(whole, *columns)
+    assert rows(hierarchy(df, nodes, slice_rows=5), "node", "ancestors") == rows(whole, "node", "ancestors")
+    assert whole.count() == 30 + 24 + 20
