@@ -5,20 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.runtime import Rounds
+from chronoweave.runtime import BROADCAST_BYTES, Rounds
 
-#: Jumps a round makes along the minimum labels before its tables are written.
+#: Joins between two tables of a jumping round: pointers grow (JUMPS + 1)-fold a round.
 JUMPS = 3
+#: Bytes a pointer takes as the small side of a join.
+POINTER_BYTES = 160
+
+
+def to_roots(rounds: Rounds, pointers: DataFrame, rows: int) -> DataFrame:
+    """(node, label) with every label moved to the end of its chain of pointers.
+
+    A root points to itself. Each round replaces the pointers by those (JUMPS + 1) times as long,
+    so a chain of n links takes log n rounds; the last one is that in which no pointer moved.
+    """
+    while True:
+        ahead = pointers.select(F.col("node").alias("label"), F.col("label").alias("_label"))
+        if rows * POINTER_BYTES <= BROADCAST_BYTES:
+            ahead = F.broadcast(ahead)
+        jumped = pointers.select("node", "label", F.col("label").alias("before"))
+        for _ in range(JUMPS):
+            jumped = jumped.join(ahead, "label").select("node", F.col("_label").alias("label"), F.col("label").alias("before"))
+        fresh = rounds.cut(jumped)
+        rounds.drop(pointers)
+        pointers = fresh
+        # a pointer that the last step left in place stands at a root
+        if pointers.where("label <> before").isEmpty():
+            return pointers
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(group_id, member): the smallest id of the group each linked id belongs to.
 
-    Every round each vertex takes the least id among itself and its neighbours as label, labels
-    jump along their labels, and the edges are rewritten to the labels; edges inside a label and
-    repeats vanish. Rounds end when no edge is left, that is when no label would change. Minima
-    are aggregated before the shuffle, so a vertex with many links is no hot group; the rewriting
-    joins leave skewed vertices to be split at run time.
+    Every round each vertex points to the least id among itself and its neighbours, the pointers
+    are jumped until all stand at roots, and the edges are rewritten to the roots; edges inside a
+    root and repeats vanish. A round leaves at most every second vertex, so rounds are at most the
+    logarithm of the vertices, and so are the jumps within one. Rounds end when no edge is left,
+    that is when no label would change. Minima are aggregated before the shuffle, so a vertex with
+    many links is no hot group; the rewriting joins leave skewed vertices to be split at run time,
+    or broadcast the pointers where their counted rows fit.
 
     Pairs with a null side or the same id on both sides link nothing; repeats and either order
     count once. An empty table gives an empty one.
@@ -26,31 +51,29 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     rounds = Rounds(pairs.sparkSession, "components")
     one = pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     edges = rounds.cut(one)
+    left = edges.count()
     labels = None
-    while not edges.isEmpty():
+    while left:
         # u < v on every edge: the least neighbour of a vertex, if less than itself, is a u
         low = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
-        tops = edges.select(F.col("u").alias("node")).distinct().join(low, "node", "left_anti").select("node", F.col("node").alias("label"))
-        step = rounds.cut(low.unionByName(tops))
-        jump = step
-        ahead = step.select(F.col("node").alias("label"), F.col("label").alias("_label"))
-        for _ in range(JUMPS):
-            jump = jump.join(ahead, "label").select("node", F.col("_label").alias("label"))
-        jump = rounds.cut(jump)
-        rounds.drop(step)
-        left = jump.select(F.col("node").alias("u"), F.col("label").alias("_u"))
-        right = jump.select(F.col("node").alias("v"), F.col("label").alias("_v"))
-        moved = edges.join(left, "u").join(right, "v").where("_u <> _v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct()
-        fresh = rounds.cut(moved)
+        both = edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct().unionByName(low)
+        step = rounds.cut(both.groupBy("node").agg(F.min("label").alias("label")))
+        rows = step.count()
+        jump = to_roots(rounds, step, rows)
+        small = rows * POINTER_BYTES <= BROADCAST_BYTES
+        side = F.broadcast(jump) if small else jump
+        moved = edges.join(side.select(F.col("node").alias("u"), F.col("label").alias("_u")), "u").join(side.select(F.col("node").alias("v"), F.col("label").alias("_v")), "v")
+        fresh = rounds.cut(moved.where("_u <> _v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct())
         rounds.drop(edges)
-        edges = fresh
+        edges, left = fresh, fresh.count()
         if labels is None:
             labels = jump
         else:
-            over = jump.select(F.col("node").alias("label"), F.col("label").alias("_label"))
+            over = side.select(F.col("node").alias("label"), F.col("label").alias("_label"))
             merged = rounds.cut(labels.join(over, "label", "left").select("node", F.coalesce("_label", "label").alias("label")))
             rounds.drop(labels, jump)
             labels = merged
     if labels is None:
         return one.select(F.col("u").alias("group_id"), F.col("v").alias("member"))
+    rounds.drop(edges)
     return labels.select(F.col("label").alias("group_id"), F.col("node").alias("member"))

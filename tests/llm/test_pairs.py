@@ -71,3 +71,15 @@ def test_components_against_union_find(spark):
     df = spark.createDataFrame([(*p, "l") for p in pairs], "a string, b string, label string")
     assert rows(components(df, "a", "b")) == union_find(pairs)
     assert rows(components(df.limit(0), "a", "b")) == []
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
+    from chronoweave.runtime import Rounds
+
+    written, cut = [], Rounds.cut
+    monkeypatch.setattr(Rounds, "cut", lambda self, df, keep=False: written.append(1) or cut(self, df, keep))
+    n = 4000
+    df = spark.createDataFrame([(f"{i:05d}", f"{i + 1:05d}") for i in range(n)], "a string, b string")
+    got = components(df, "a", "b")
+    assert got.where("group_id = '00000'").count() == n + 1 and got.count() == n + 1
+    assert len(written) <= 15
