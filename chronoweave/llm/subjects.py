@@ -1,4 +1,4 @@
-"""Subject areas of documents: labels propagated over the graph of documents and the words they share."""
+"""Subject areas of documents: labels propagated over a verified graph of similar passages and their documents."""
 
 from __future__ import annotations
 
@@ -8,13 +8,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.runtime import Rounds, broadcast_if_small, spread
-
-#: Rounds of propagation; least documents of a word; least information of a word about the
-#: subject (part of the most there can be); least lead of a sentence's first subject; sentences that make a subject one of several.
-ROUNDS, WORD_DOCS, INFORMATION, LEAD, SEVERAL = 3, 2, 0.3, 0.5, 3
-#: A word's log ratio counts no less than this, so that one word can't rule a subject out.
-FLOOR = -2.0
+from chronoweave.runtime import BROADCAST_BYTES, Rounds, broadcast_if_small, spread
+
+#: Least seed documents of a telling word, and its least information (part of the most there can be).
+WORD_DOCS, INFORMATION = 2, 0.3
+#: Least share of telling words two linked passages have in common.
+ALIKE = 0.5
+#: What a share is worth one link further on, and the least change that keeps the rounds going. A
+#: change at most halves from round to round, so rounds end by themselves.
+DAMPING, CHANGE = 0.5, 0.02
+#: Least lead of a passage's first subject over its second, and sentences that make a subject one of several.
+LEAD, SEVERAL = 0.25, 3
 # Fixed value: letters with marks and what they are compared as.
 MARKED, BASE = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
 
@@ -27,75 +31,124 @@ def sentence_words(text: Column) -> Column:
     return F.filter(words, lambda w: F.size(w) > 0)
 
 
-def _word_table(words: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
-    """(word, v0, v1, ..): log ratio of each subject's share of the word's documents to an even share.
+def telling_words(words: DataFrame, seeds: DataFrame, subjects: list[str]) -> DataFrame:
+    """(word) of (doc_id, word): those whose seed documents agree on few subjects.
 
-    Only words that tell something about the subject are kept; words of passing remarks occur with
-    every subject and drop out, which verifies the links between documents.
+    Shares are weighed by the subjects' sizes, so a large subject has no advantage. Words of passing
+    remarks and names occur with every subject and drop out; what is left verifies the links.
     """
     k = len(subjects)
-    total = labels.groupBy().agg(*[F.sum(F.when(F.col("subject") == s, F.col("share")).otherwise(0.0)).alias(f"t{i}") for i, s in enumerate(subjects)])
-    t = [x or 0.0 for x in total.first()]
+    sums = [F.sum(F.when(F.col("subject") == s, F.col("share")).otherwise(0.0)) for s in subjects]
+    t = [x or 0.0 for x in seeds.agg(*[c.alias(f"t{i}") for i, c in enumerate(sums)]).first()]
     mean = sum(t) / max(1, sum(x > 0 for x in t))
-    seen = words.join(labels, "doc_id").groupBy("word").agg(F.sum("share").alias("n"), *[F.sum(F.when(F.col("subject") == s, F.col("share")).otherwise(0.0)).alias(f"c{i}") for i, s in enumerate(subjects)])
-    seen = seen.where(F.col("n") >= WORD_DOCS - 1e-9)
+    seen = words.join(seeds, "doc_id").groupBy("word").agg(F.sum("share").alias("n"), *[c.alias(f"c{i}") for i, c in enumerate(sums)]).where(F.col("n") >= WORD_DOCS - 1e-9)
     rates = [F.col(f"c{i}") / F.lit(t[i] + 0.1 * mean or 1.0) for i in range(k)]
     whole = reduce(lambda a, b: a + b, rates)
-    seen = seen.select("word", "n", *[((F.col("n") * r / whole + 1.0 / k) / (F.col("n") + 1.0)).alias(f"q{i}") for i, r in enumerate(rates)])
-    information = reduce(lambda a, b: a + b, [F.col(f"q{i}") * F.log(F.col(f"q{i}") * k) for i in range(k)])
-    return seen.where(information >= INFORMATION * math.log(k)).select("word", *[F.greatest(F.log(F.col(f"q{i}") * k), F.lit(FLOOR)).alias(f"v{i}") for i in range(k)])
+    shares = [(F.col("n") * r / whole + 1.0 / k) / (F.col("n") + 1.0) for r in rates]
+    information = reduce(lambda a, b: a + b, [q * F.log(q * k) for q in shares])
+    return seen.where(information >= INFORMATION * math.log(k)).select("word")
 
 
-def _document_subjects(sentences: DataFrame, table: DataFrame, subjects: list[str]) -> DataFrame:
-    """(doc_id, subject, n, total): sentences about each subject, and about any, of each document."""
-    k = len(subjects)
-    rows = sentences.select("doc_id", F.posexplode("words").alias("sentence", "w")).select("doc_id", "sentence", F.explode("w").alias("word"))
-    scores = rows.join(broadcast_if_small(table, 16 + 8 * k + 64), "word").groupBy("doc_id", "sentence").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(k)])
-    ranked = F.sort_array(F.array(*[F.struct(F.col(f"v{i}").alias("v"), F.lit(i).alias("s")) for i in range(k)]), asc=False)
-    lead = ranked[0]["v"] - ranked[1]["v"] if k > 1 else ranked[0]["v"]
-    names = F.array(*[F.lit(s) for s in subjects])
-    best = scores.select("doc_id", ranked[0]["s"].alias("s"), lead.alias("lead")).where(F.col("lead") >= LEAD)
-    counts = best.groupBy("doc_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("s") == i).alias(f"n{i}") for i in range(k)])
-    held = F.filter(F.array(*[F.struct(F.lit(i).alias("s"), F.col(f"n{i}").alias("n")) for i in range(k)]), lambda x: x["n"] > 0)
-    return counts.select("doc_id", "total", F.explode(held).alias("h")).select("doc_id", names[F.col("h.s")].alias("subject"), F.col("h.n").alias("n"), "total")
-
-
-def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, *, doc_id: str = "doc_id", text: str = "text", subject: str = "subject", rounds: int = ROUNDS) -> DataFrame:
+def similar_passages(passages: DataFrame, least: float = ALIKE) -> DataFrame:
+    """(p, q, alike) both ways: classes of passages (p, t: distinct words) with a share of ``least`` of their words in common.
+
+    Words are ordered from the rarest to the commonest. A pair that is alike shares its first word
+    within the first n - ceil(least * n) + 1 of either side, so only those are joined on, and the
+    pair is kept at its first shared word alone: the commonest words bring no pairs together.
+    """
+    often = passages.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("often"))
+    each = passages.select("p", F.explode("t").alias("w")).join(broadcast_if_small(often, 64), "w")
+    sets = each.groupBy("p").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "w"))), lambda x: x["w"]).alias("t"))
+    size = F.size("t")
+    first = sets.select("p", "t", F.explode(F.slice("t", F.lit(1), size - F.ceil(size * least).cast("int") + 1)).alias("w"))
+    a, b = first.select("w", "p", F.col("t").alias("x")), first.select("w", F.col("p").alias("q"), F.col("t").alias("y"))
+    both = F.array_intersect("x", "y")
+    shared = F.size(both)
+    pairs = a.join(b, "w").where("p < q").where(both[0] == F.col("w")).select("p", "q", (shared / (F.size("x") + F.size("y") - shared)).alias("alike")).where(F.col("alike") >= least)
+    return pairs.unionByName(pairs.select(F.col("q").alias("p"), F.col("p").alias("q"), "alike"))
+
+
+def propagate(run: Rounds, links: DataFrame, seeds: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """(p, subject, f): how much of each passage is about each subject, 1 for a clamped one.
+
+    ``links`` has (p, q, alike); ``seeds`` (p, held, n): n sentences of passage p in seed documents
+    of the subjects ``held``. Each round a passage takes its clamped seed sentences, dealt among the
+    subjects their documents hold by what the passage is about so far, and DAMPING times the shares
+    of the passages linked to it, so that shares fade with the distance to a seed. Rounds end when
+    no share moves by CHANGE. ``state`` is an earlier result to start from.
+    """
+    weight = links.groupBy("p").agg(F.sum("alike").alias("w")).unionByName(seeds.groupBy("p").agg(F.sum("n").cast("double").alias("w")))
+    weight = run.cut(weight.groupBy("p").agg(F.sum("w").alias("w")))
+    weight = broadcast_if_small(weight, 64)
+    if state is None:
+        start = seeds.select("p", "n", F.size("held").alias("k"), F.explode("held").alias("subject")).groupBy("p", "subject").agg(F.sum(F.col("n") / F.col("k")).alias("s"))
+        state = run.cut(start.join(weight, "p").select("p", "subject", (F.col("s") / F.col("w")).alias("f")))
+    while True:
+        now = broadcast_if_small(state, 64)
+        held = seeds.select("p", "held", "n", F.explode("held").alias("subject")).join(now, ["p", "subject"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)) + 1e-3)
+        own = held.select("p", "subject", (F.col("n") * F.col("f") / F.sum("f").over(_within("p", "held"))).alias("s"))
+        near = links.join(now.withColumnRenamed("p", "q"), "q").select("p", "subject", (DAMPING * F.col("alike") * F.col("f")).alias("s"))
+        was = state.select("p", "subject", F.lit(0.0).alias("s"), F.col("f").alias("g"))
+        sums = own.unionByName(near).withColumn("g", F.lit(0.0)).unionByName(was).groupBy("p", "subject").agg(F.sum("s").alias("s"), F.sum("g").alias("g"))
+        fresh = run.cut(sums.join(weight, "p").select("p", "subject", (F.col("s") / F.col("w")).alias("f"), "g"))
+        moved = not fresh.where(F.abs(F.col("f") - F.col("g")) >= CHANGE).isEmpty()
+        run.drop(state)
+        state = fresh
+        if not moved:
+            return state.select("p", "subject", "f")
+
+
+def _within(*keys: str):
+    """All rows of a key: at most one per subject."""
+    from pyspark.sql import Window
+
+    return Window.partitionBy(*keys)
+
+
+def _held(spoken: DataFrame, shares: DataFrame) -> DataFrame:
+    """(doc_id, subjects) of (doc_id, p, n): those most of a document's sentences, or SEVERAL, are about."""
+    top = shares.where("f > 0").groupBy("p").agg(F.sort_array(F.collect_list(F.struct("f", "subject")), asc=False).alias("r"), F.sum("f").alias("w"))  # at most one entry per subject
+    lead = (F.col("r")[0]["f"] - F.coalesce(F.get("r", F.lit(1))["f"], F.lit(0.0))) / F.col("w")
+    told = top.where(lead >= LEAD).select("p", F.col("r")[0]["subject"].alias("subject"))
+    counts = spoken.join(broadcast_if_small(told, 64), "p").groupBy("doc_id", "subject").agg(F.sum("n").alias("n"))
+    whole = F.sum("n").over(_within("doc_id"))
+    return counts.withColumn("whole", whole).where((2 * F.col("n") > F.col("whole")) | (F.col("n") >= SEVERAL)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+
+
+def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, *, doc_id: str = "doc_id", text: str = "text", subject: str = "subject") -> DataFrame:
     """(doc_id, subject): the subjects most of a document's sentences, or at least SEVERAL, are about.
 
-    Documents and words form a graph; two documents are neighbours by a shared word if the word
-    tells the subject. Hand labels are the seeds. Each round the words take the shares of their
-    documents' subjects, sentences take the subject their words tell with a clear lead, and
-    documents take those of their sentences; seeds stay clamped to their label unless their own
-    text, by the last round, has no sentence about it. A document keeps several subjects. At the
-    end every document, seeds too, has what its sentences say.
+    Documents are linked by their passages. A passage is the set of telling words of a sentence, a
+    class that all documents with such a sentence belong to; two classes are linked if at least
+    ALIKE of their words are shared, which is verified on the sets themselves, and words count only
+    where the seed documents they link agree. The graph is built once; hand labels are clamped
+    seeds, and shares of subjects spread over it until they stand still. Seeds that their own text
+    denies are not trusted: they are taken out and the rest is spread again. A document keeps
+    several subjects; a trusted seed has its labels.
 
     Null, empty and blank texts, and texts of words that tell nothing, have no subject. Labels of
     unknown subjects or documents are void, repeated ones count once. Without labels no document
-    has a subject. The list of subjects is a small fixed table and comes to the driver; the table of
-    telling words is broadcast only if its measured size allows.
+    has a subject. The list of subjects is a small fixed table and comes to the driver; the tables of
+    words and passages are broadcast only if their measured size allows.
     """
     spark = docs.sparkSession
     run = Rounds(spark, "subjects")
     names = [r[0] for r in subjects.select(subject).where(F.col(subject).isNotNull()).distinct().orderBy(subject).collect()]
-    base = spread(docs.where(F.length(F.trim(text)) > 0).select(doc_id, text)).select(F.col(doc_id).alias("doc_id"), sentence_words(F.col(text)).alias("words"))
-    base = run.cut(base, keep=True)
-    words = base.select("doc_id", F.explode(F.array_distinct(F.flatten("words"))).alias("word"))
+    kept = docs.where(F.length(F.trim(text)) > 0).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     seeds = labels.select(F.col(doc_id).alias("doc_id"), F.col(subject).alias("subject")).where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).distinct()
-    n = seeds.groupBy("doc_id").agg(F.count("*").alias("k"))
-    seeds = run.cut(seeds.join(n, "doc_id").select("doc_id", "subject", (1.0 / F.col("k")).alias("share")), keep=True)
-    state, told = seeds, None
-    for r in range(rounds + 1):
-        table = run.cut(_word_table(words, state, names))
-        told = run.cut(_document_subjects(base, table, names), keep=True)
-        if r == rounds:
-            break
-        own = told.where((2 * F.col("n") > F.col("total")) | (F.col("n") >= SEVERAL))
-        whole = own.groupBy("doc_id").agg(F.sum("n").alias("w"))
-        guess = own.join(whole, "doc_id").select("doc_id", "subject", (F.col("n") / F.col("w")).alias("share"))
-        # a seed whose text has no sentence about any of its labels is not trusted
-        denied = seeds.select("doc_id").distinct().join(told.select("doc_id").distinct(), "doc_id", "left_semi").join(seeds.join(told.select("doc_id", "subject"), ["doc_id", "subject"], "left_semi"), "doc_id", "left_anti")
-        trusted = seeds.join(denied, "doc_id", "left_anti")
-        fresh = run.cut(trusted.unionByName(guess.join(trusted.select("doc_id").distinct(), "doc_id", "left_anti")))
-        state = fresh
-    return told.where((2 * F.col("n") > F.col("total")) | (F.col("n") >= SEVERAL)).select(F.col("doc_id").alias(doc_id), F.col("subject").alias(subject))
+    seeds = run.cut(seeds.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("held")))  # at most one entry per subject
+    shares = seeds.select("doc_id", F.explode("held").alias("subject"), (1.0 / F.size("held")).alias("share"))
+    own = kept.join(broadcast_if_small(seeds.select("doc_id"), 16), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(F.flatten(sentence_words(F.col("text"))))).alias("word"))
+    table = run.cut(telling_words(spread(own), shares, names))
+    words = spread(kept).select("doc_id", F.posexplode(sentence_words(F.col("text"))).alias("s", "w")).select("doc_id", "s", F.explode("w").alias("word"))
+    sentences = words.join(broadcast_if_small(table, 64), "word").groupBy("doc_id", "s").agg(F.array_sort(F.collect_list("word")).alias("t"))
+    spoken = run.cut(sentences.groupBy("doc_id", "t").agg(F.count("*").alias("n")).withColumn("p", F.md5(F.array_join("t", " "))))
+    links = run.cut(similar_passages(run.cut(spoken.groupBy("p").agg(F.first("t").alias("t")))))
+    clamped, told, state = seeds, None, None
+    for _ in range(2):
+        sown = run.cut(spoken.join(broadcast_if_small(clamped, 128), "doc_id").groupBy("p", "held").agg(F.sum("n").alias("n")))
+        state = propagate(run, links, sown, state)
+        told = run.cut(_held(spoken.select("doc_id", "p", "n"), state), keep=True)
+        clamped = run.cut(seeds.join(told, "doc_id").where(F.col("held") == F.col("subjects")).select("doc_id", "held"), keep=True)
+    rest = told.join(broadcast_if_small(clamped.select("doc_id"), 16), "doc_id", "left_anti")
+    return clamped.withColumnRenamed("held", "subjects").unionByName(rest).select(F.col("doc_id").alias(doc_id), F.explode("subjects").alias(subject))
