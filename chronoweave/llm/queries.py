@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm.components import components
-from chronoweave.llm.leakage import leaks
+from chronoweave.llm.leakage import leaks, without_leaks
 from chronoweave.llm.near_dup import SEQUENCE, near_pairs, words
 from chronoweave.llm.subjects import subject_areas
 from chronoweave.llm.tokenizer import encode_texts
@@ -47,6 +47,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item", "item_id", "text"))
 
 
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its evaluation passages cut out: words removed, whether it was dropped, characters left."""
+    clean = without_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item", "item_id", "text"))
+    return clean.select("doc_id", "removed", "dropped", F.length("text").alias("chars"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subject_areas(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "subject_label"), table(spark, d, "subject"))
 
@@ -57,7 +63,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return p10_found(spark, d).join(sizes, "doc_id").groupBy("subject").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_clean": p9_clean, "p10_found": p10_found, "p10_composition": p10_composition}
 
 SQL = {
     "p5_found": """
