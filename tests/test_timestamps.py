@@ -65,3 +65,31 @@ def test_viterbi_equals_all_paths():
             return sum(SWITCH * (f[i][a] != f[i + 1][b]) + BACKWARD * (t[i + 1][b] < t[i][a] - DAY_US) for i, (a, b) in enumerate(zip(p, p[1:])))
 
         assert cost(viterbi(f, t)) == min(cost(p) for p in product(*map(range, sizes)))
+
+
+def test_choice_is_the_same_at_every_slice_size(spark):
+    rng = np.random.default_rng(5)
+    cases = []
+    for i in range(60):
+        d, m = rng.integers(1, 29), rng.integers(1, 13)
+        text = [f"{d:02d}/{m:02d}/2021", f"{min(d, 12):02d}/{m:02d}/2021", f"2021-{m:02d}-{d:02d}"][rng.choice(3, p=[0.3, 0.6, 0.1])]
+        cases.append((text, "UTC", None if i % 3 else "mdy"))
+    df = frame(spark, cases)
+    args = dict(row_id="id", text="txt", source="src", seq="seq", zone="tz", date_order="ord")
+    whole = rows(normalise(df, **args))
+    assert len(whole) > 30
+    for size in (1, 2, 3, 4, 17):
+        assert rows(normalise(df, slice_rows=size, **args)) == whole
+
+
+def test_equal_day_and_month_follow_any_order(spark):
+    df = frame(spark, [("03/03/2021", "UTC", "mdy"), ("03/03/2021", "UTC", "dmy"), ("03/03/2021", "UTC", None)])
+    got = rows(normalise(df, row_id="id", text="txt", source="src", seq="seq", zone="tz", date_order="ord"), "id", "epoch_us")
+    assert got == [(i, us(2021, 3, 3)) for i in range(3)]
+
+
+def test_ties_of_the_order_are_cut_too(spark):
+    df = spark.createDataFrame([(i, "03/04/2021", "s", 7, "UTC", None) for i in range(40)] + [(99, "05/13/2021", "s", 8, "UTC", None)], "id int, txt string, src string, seq int, tz string, ord string")
+    args = dict(row_id="id", text="txt", source="src", seq="seq", zone="tz")
+    whole = rows(normalise(df, **args))
+    assert len(whole) == 41 and rows(normalise(df, slice_rows=5, **args)) == whole
