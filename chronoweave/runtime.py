@@ -195,6 +195,15 @@ def carried_sum(df: DataFrame, key: Sequence[str], order: Sequence, value: str,
     return _with_edges(df, key, edges).withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0))).drop("_carry")
 
 
+def carried_total(df: DataFrame, key: Sequence[str], value: str, out: str, hot: bool) -> DataFrame:
+    """Sum of ``value`` over all rows of the key."""
+    df = df.withColumn(out, F.sum(value).over(Window.partitionBy(*key, "_slice")))
+    if not hot:
+        return df
+    whole = df.where("_slice >= 0").groupBy(*key, "_slice").agg(F.sum(value).alias("_sum")).select(*key, "_slice", F.sum("_sum").over(Window.partitionBy(*key)).alias("_carry"))  # one row per slice
+    return _with_edges(df, key, whole).withColumn(out, F.coalesce("_carry", out)).drop("_carry")
+
+
 def carried_next(df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, out: str, hot: bool, back: bool = False) -> DataFrame:
     """``value`` of the next row per key in ascending ``order`` (with ``back``: of the previous row)."""
     w = Window.partitionBy(*key, "_slice").orderBy(*order)
