@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.operators.asof import as_known_at
 from chronoweave.operators.hierarchy import hierarchy, reference_number
 from chronoweave.operators.history import attribute_history
-from chronoweave.operators.references import existence_deltas, orphans, references
+from chronoweave.operators.references import apply_deltas, current_orphans, existence_deltas, orphans, reference_deltas, references
+from chronoweave.operators.temporal import instant
+from chronoweave.runtime import Rounds
 from chronoweave.operators.timestamps import normalise
 from chronoweave.sources.tables import table
 
@@ -59,25 +63,12 @@ def p6_attributes(spark: SparkSession, d: str) -> DataFrame:
     return attribute_history(spans, "id", ["name", "kind", "file_path"]).select("id", "name", "kind", "file_path", _us("valid_from").alias("valid_from_us"), F.coalesce(_us("valid_to"), F.lit(-1)).alias("valid_to_us"))
 
 
-#: Of each reference field: table, row key, target table, its begin and end.
-FIELDS = {
-    "to_id": ("symbol_edge", "symbol_span", "valid_from", "valid_to"),
-    "to_name": ("symbol_edge", "symbol_span", "valid_from", "valid_to"),
-    "adr_id": ("decision", "adr_document", "valid_from", "valid_to"),
-    "episode_id": ("decision", "episode", "occurred_at", None),
-}
-
-
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "symbol_edge", "id", "repo_id", "to_id", "to_name", "valid_from")
-    rows = table(spark, d, "decision", "id", "adr_id", "episode_id", "valid_from")
-    named = F.concat_ws("|", "repo_id", "to_name")
-    refs = [
-        references(edges, "to_id", "id", "to_id", "valid_from"),
-        references(edges.where("to_id IS NULL AND to_name <> '' AND repo_id IS NOT NULL").withColumn("key", named), "to_name", "id", "key", "valid_from"),
-        references(rows, "adr_id", "id", "adr_id", "valid_from"),
-        references(rows, "episode_id", "id", "episode_id", "valid_from"),
-    ]
+def _reference_sides(spark: SparkSession, d: str) -> tuple[dict[str, tuple[DataFrame, str]], list[DataFrame]]:
+    """Of each reference field the referring rows with the column of their key, and the existence deltas of all fields."""
+    edges = table(spark, d, "symbol_edge", "id", "repo_id", "to_id", "to_name", "valid_from", "valid_to")
+    rows = table(spark, d, "decision", "id", "adr_id", "episode_id", "valid_from", "valid_to")
+    named = edges.where("to_id IS NULL AND to_name <> '' AND repo_id IS NOT NULL").withColumn("key", F.concat_ws("|", "repo_id", "to_name"))
+    refs = {"to_id": (edges, "to_id"), "to_name": (named, "key"), "adr_id": (rows, "adr_id"), "episode_id": (rows, "episode_id")}
     spans = table(spark, d, "symbol_span", "id", "repo_id", "name", "valid_from", "valid_to")
     docs = table(spark, d, "adr_document", "id", "valid_from", "valid_to")
     episodes = table(spark, d, "episode", "id", "occurred_at")
@@ -88,8 +79,28 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
         existence_deltas(docs, "adr_id", "id", "valid_from", "valid_to"),
         existence_deltas(episodes, "episode_id", "id", "occurred_at", None),
     ]
-    union = lambda parts: parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return orphans(union(refs), union(there))
+    return refs, there
+
+
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    sides, there = _reference_sides(spark, d)
+    refs = [references(rows, field, "id", key, "valid_from") for field, (rows, key) in sides.items()]
+    return orphans(reduce(DataFrame.unionByName, refs), reduce(DataFrame.unionByName, there))
+
+
+#: The instant of the current report, and the one its state is first built at.
+NOW, BEFORE = "2024-06-01 00:00:00", "2023-06-01 00:00:00"
+
+
+def p7_current(spark: SparkSession, d: str) -> DataFrame:
+    """The report of orphans open at NOW, from counts kept at BEFORE and the deltas since then."""
+    sides, there = _reference_sides(spark, d)
+    refs = reduce(DataFrame.unionByName, [reference_deltas(rows, field, "id", key, "valid_from", "valid_to") for field, (rows, key) in sides.items()])
+    there = reduce(DataFrame.unionByName, there)
+    since = (F.col("t") > instant(BEFORE)) & (F.col("t") <= instant(NOW))
+    kept = Rounds(spark, "reference_counts").cut(apply_deltas(None, refs.where(F.col("t") <= instant(BEFORE)), there.where(F.col("t") <= instant(BEFORE))), keep=True)
+    state = apply_deltas(kept, refs.where(since), there.where(since))
+    return current_orphans(state).groupBy("field", "kind").agg(F.count("*").alias("keys"), F.sum("refs").alias("refs"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,4 +113,4 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("src_table", "src_field", "period", "kind").agg(F.count("*").alias("orphans"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_attributes": p6_attributes, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_attributes": p6_attributes, "p7_found": p7_found, "p7_report": p7_report, "p7_current": p7_current}

@@ -77,10 +77,41 @@ GROUP BY r.src_table, r.src_field, r.row_id, r.key, r.t
 HAVING coalesce(count(*) FILTER (g.f <= r.t AND (g.u IS NULL OR r.t < g.u)), 0) = 0
 """
 
+P6_ATTRIBUTES = """
+WITH counted AS (
+  SELECT DISTINCT id, name, kind, file_path, valid_from, valid_to, ingested_at FROM symbol_span WHERE id IS NOT NULL AND valid_from IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY id, valid_from ORDER BY ingested_at DESC NULLS LAST, valid_to DESC NULLS FIRST, name DESC NULLS LAST, kind DESC NULLS LAST, file_path DESC NULLS LAST) = 1),
+held AS (SELECT *, least(valid_to, lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from)) AS u FROM counted),
+kept AS (SELECT * FROM held WHERE u IS NULL OR u > valid_from),
+marked AS (
+  SELECT *, CASE WHEN lag(name) OVER w IS NOT DISTINCT FROM name AND lag(kind) OVER w IS NOT DISTINCT FROM kind AND lag(file_path) OVER w IS NOT DISTINCT FROM file_path AND lag(u) OVER w = valid_from THEN 0 ELSE 1 END AS starts
+  FROM kept WINDOW w AS (PARTITION BY id ORDER BY valid_from)),
+numbered AS (SELECT *, sum(starts) OVER (PARTITION BY id ORDER BY valid_from) AS v FROM marked)
+SELECT id, min(name) AS name, min(kind) AS kind, min(file_path) AS file_path, epoch_us(min(valid_from)) AS valid_from_us, CASE WHEN bool_or(u IS NULL) THEN -1 ELSE epoch_us(max(u)) END AS valid_to_us FROM numbered GROUP BY id, v
+"""
+
+P7_CURRENT = """
+WITH ref AS (
+  SELECT DISTINCT 'to_id' AS field, to_id AS key, id, valid_from AS f, valid_to AS u FROM symbol_edge WHERE to_id IS NOT NULL
+  UNION SELECT 'to_name', concat_ws('|', repo_id, to_name), id, valid_from, valid_to FROM symbol_edge WHERE to_id IS NULL AND to_name <> '' AND repo_id IS NOT NULL
+  UNION SELECT 'adr_id', adr_id, id, valid_from, valid_to FROM decision WHERE adr_id IS NOT NULL
+  UNION SELECT 'episode_id', episode_id, id, valid_from, valid_to FROM decision WHERE episode_id IS NOT NULL),
+target AS (
+  SELECT 'to_id' AS field, id AS key, valid_from AS f, valid_to AS u FROM symbol_span
+  UNION ALL SELECT 'to_name', concat_ws('|', repo_id, name), valid_from, valid_to FROM symbol_span WHERE repo_id IS NOT NULL AND name IS NOT NULL
+  UNION ALL SELECT 'adr_id', id, valid_from, valid_to FROM adr_document
+  UNION ALL SELECT 'episode_id', id, occurred_at, NULL FROM episode),
+open_ref AS (SELECT field, key, count(*) AS refs FROM ref WHERE f <= TIMESTAMP '2024-06-01' AND (u IS NULL OR u > TIMESTAMP '2024-06-01') GROUP BY 1, 2),
+begun AS (SELECT field, key, bool_or(u IS NULL OR u > TIMESTAMP '2024-06-01') AS alive FROM target WHERE f <= TIMESTAMP '2024-06-01' GROUP BY 1, 2)
+SELECT r.field, CASE WHEN b.key IS NULL THEN 'missing' ELSE 'deleted' END AS kind, count(*) AS keys, CAST(sum(r.refs) AS BIGINT) AS refs FROM open_ref r LEFT JOIN begun b USING (field, key) WHERE NOT coalesce(b.alive, false) GROUP BY 1, 2
+"""
+
 SQL = {
     "p1_found": P1,
     "p2_found": P2,
     "p6_found": P6,
+    "p6_attributes": P6_ATTRIBUTES,
     "p7_found": P7,
+    "p7_current": P7_CURRENT,
     "p7_report": f"SELECT src_table, src_field, period, kind, count(*) AS orphans FROM ({P7}) GROUP BY ALL",
 }
