@@ -7,11 +7,18 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Markers of prohibition and of obligation, and words without content.
-PROHIBITION = ("must not", "must never", "shall not", "should not", "shouldn't", "cannot", "can't", "never", "do not", "don't", "may not")
-OBLIGATION = ("must", "shall", "should", "always", "required", "has to", "have to", "needs to")
-STOP = ("that", "this", "with", "from", "have", "will", "they", "them", "when", "must", "shall", "should", "never", "always", "into", "than", "then", "only", "every", "each")
-GENERIC = ("service", "module", "component", "system", "api", "app", "the")
+# Markers of prohibition and of obligation in a constraint.
+PROHIBITION = ("must not", "must never", "shall not", "may not", "cannot ", "can not ", "never ", "prohibit", "forbidden", "disallow", "not be allowed")
+OBLIGATION = ("must ", "shall ", "always ", "required to", "is required", "are required", "has to ", "have to ")
+# Markers of a negated constraint in the comparison of constraints.
+NEGATION = ("must not", "shall not", "should not", "may not", "do not", "don't", "never", "prohibit", "forbid", "avoid")
+# Words without content in that comparison.
+STOP = (
+    "must", "shall", "should", "will", "with", "that", "this", "from", "into", "have", "when", "then", "than", "them", "they", "each", "every", "always", "never", "only",
+    "over", "under", "through", "directly", "avoid", "prohibited", "forbidden", "their", "there", "these", "those", "been", "being", "would", "could", "about",
+)
+# Words that name the kind of an entity.
+GENERIC = ("service", "services", "svc", "module", "modules")
 
 
 def terms(text: Column) -> Column:
@@ -66,6 +73,12 @@ def polarity(text: Column) -> Column:
     return F.when(has(PROHIBITION), "must_not").when(has(OBLIGATION), "must")
 
 
+def negated(text: Column) -> Column:
+    """Whether a constraint forbids something, by the markers it contains; null for null."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in NEGATION])
+
+
 def content_terms(text: Column) -> Column:
     """Distinct terms of more than three bytes that carry content."""
     return F.array_except(F.array_distinct(F.filter(terms(text), lambda w: F.octet_length(w) > 3)), F.array(*[F.lit(s) for s in STOP]))
@@ -73,18 +86,23 @@ def content_terms(text: Column) -> Column:
 
 def document_references(text: Column) -> Column:
     """Numbers, padded to at least four digits, of the records a text refers to by prefix and number."""
-    found = F.regexp_extract_all(F.upper(text), F.lit(r"(?:ADR|RFC|DR)[- ]*([0-9]+)"), F.lit(1))
+    found = F.regexp_extract_all(F.upper(text), F.lit(r"ADR[- ]*([0-9]+)"), F.lit(1))
     bare = F.transform(found, lambda n: F.regexp_replace(n, "^0+(?=[0-9])", ""))
     return F.array_distinct(F.transform(bare, lambda n: F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n)))  # lpad also cuts
 
 
-def entity_key(name: Column) -> Column:
-    """Key under which spellings of an entity's name meet: lower-case parts, without generic words and plural s."""
-    spaced = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
-    parts = F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda w: w != "")
+def entity_tokens(name: Column) -> Column:
+    """Lower-case parts of a name, cut at case changes and at signs, without generic words and plural s."""
+    spaced = F.regexp_replace(name, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
+    parts = F.filter(F.split(F.lower(spaced), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     own = F.filter(parts, lambda w: ~w.isin(*GENERIC))
     kept = F.when(F.size(own) > 0, own).otherwise(parts)
-    return F.array_join(F.transform(kept, lambda w: F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.regexp_replace(w, "s$", "")).otherwise(w)), " ")
+    return F.transform(kept, lambda w: F.when((F.octet_length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.regexp_replace(w, "s$", "")).otherwise(w))
+
+
+def entity_key(name: Column) -> Column:
+    """Key under which spellings of an entity's name meet."""
+    return F.array_join(entity_tokens(name), " ")
 
 
 def merged_reference(message: Column) -> Column:

@@ -74,11 +74,9 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return exact_groups(table(spark, d, "documents", "doc_id", "text", "created_at"), "doc_id", "text", "created_at")
 
 
-def _has(c: str, marks: tuple) -> str:
-    return "(" + " OR ".join("contains({}, '{}')".format(c, m.replace("'", "''")) for m in marks) + ")"
-
-
-POLARITY = f"CASE WHEN {_has('lower({c})', tx.PROHIBITION)} THEN 'must_not' WHEN {_has('lower({c})', tx.OBLIGATION)} THEN 'must' END".replace("{c}", "{c}")
+# Written out, not built from the constants of the functions, so that a wrong constant shows.
+POLARITY = """CASE WHEN regexp_matches(lower({c}), 'must not|must never|shall not|may not|cannot |can not |never |prohibit|forbidden|disallow|not be allowed') THEN 'must_not'
+WHEN regexp_matches(lower({c}), 'must |shall |always |required to|is required|are required|has to |have to ') THEN 'must' END"""
 
 
 @query(f"SELECT doc_id, {POLARITY.replace('{c}', 'text')} AS polarity FROM documents")
@@ -86,12 +84,12 @@ def polarity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", tx.polarity(F.col("text")).alias("polarity"))
 
 
-@query(r"SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(upper(text), '(?:ADR|RFC|DR)[- ]*([0-9]+)', 1), lambda n: CASE WHEN length(n) >= 4 THEN n[1:4] ELSE lpad(n, 4, '0') END))) AS number FROM documents")
+@query(r"SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(upper(text), 'ADR[- ]*([0-9]+)', 1), lambda n: CASE WHEN length(ltrim(n, '0')) > 4 THEN ltrim(n, '0') ELSE lpad(ltrim(n, '0'), 4, '0') END))) AS number FROM documents")
 def document_references(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(tx.document_references(F.col("text"))).alias("number"))
 
 
-@query(r"""WITH r AS (SELECT doc_id, repo_id, unnest(list_distinct(list_transform(regexp_extract_all(upper(text), '(?:ADR|RFC|DR)[- ]*([0-9]+)', 1), lambda n: CASE WHEN length(n) >= 4 THEN n[1:4] ELSE lpad(n, 4, '0') END))) AS number FROM documents)
+@query(r"""WITH r AS (SELECT doc_id, repo_id, unnest(list_distinct(list_transform(regexp_extract_all(upper(text), 'ADR[- ]*([0-9]+)', 1), lambda n: CASE WHEN length(ltrim(n, '0')) > 4 THEN ltrim(n, '0') ELSE lpad(ltrim(n, '0'), 4, '0') END))) AS number FROM documents)
 SELECT DISTINCT r.doc_id, a.adr_id, CAST(0.95 AS DOUBLE) AS confidence FROM r JOIN adr_document a ON a.repo_id = r.repo_id AND regexp_extract(a.adr_id, '([0-9]+)$', 1) = r.number""")
 def explicit_links(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "documents", "doc_id", "repo_id", "text").select("doc_id", "repo_id", F.explode(tx.document_references(F.col("text"))).alias("number"))
@@ -99,9 +97,9 @@ def explicit_links(spark: SparkSession, d: str) -> DataFrame:
     return refs.join(docs, ["repo_id", "number"]).select("doc_id", "adr_id", F.lit(0.95).alias("confidence")).distinct()
 
 
-@query(r"""WITH p AS (SELECT DISTINCT name, list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda w: w <> '') AS parts FROM symbol_span),
-k AS (SELECT name, list_filter(parts, lambda w: w NOT IN ('service','module','component','system','api','app','the')) AS own, parts FROM p)
-SELECT array_to_string(list_transform(CASE WHEN len(own) > 0 THEN own ELSE parts END, lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END), ' ') AS key, count(*) AS names FROM k GROUP BY 1""")
+@query(r"""WITH p AS (SELECT DISTINCT name, list_filter(regexp_split_to_array(lower(regexp_replace(name, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS parts FROM symbol_span),
+k AS (SELECT name, list_filter(parts, lambda w: w NOT IN ('service', 'services', 'svc', 'module', 'modules')) AS own, parts FROM p)
+SELECT array_to_string(list_transform(CASE WHEN len(own) > 0 THEN own ELSE parts END, lambda w: CASE WHEN strlen(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END), ' ') AS key, count(*) AS names FROM k GROUP BY 1""")
 def entity_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "symbol_span", "name").distinct().select(tx.entity_key(F.col("name")).alias("key")).groupBy("key").agg(F.count("*").alias("names"))
 
@@ -157,15 +155,19 @@ def constraints(spark: SparkSession, d: str) -> DataFrame:
     return _constraints(spark, d).select("source_uri", "n", "polarity")
 
 
-_TERMS = r"list_filter(list_distinct(list_filter(regexp_split_to_array(lower(sentence), '[^\p{L}\p{N}]+'), lambda w: strlen(w) > 3)), lambda w: w NOT IN (" + ", ".join(f"'{s}'" for s in tx.STOP) + "))"
+_TERMS = r"""list_filter(list_distinct(list_filter(regexp_split_to_array(lower(sentence), '[^\p{L}\p{N}]+'), lambda w: strlen(w) > 3)), lambda w: w NOT IN ('must', 'shall', 'should', 'will', 'with', 'that', 'this', 'from',
+'into', 'have', 'when', 'then', 'than', 'them', 'they', 'each', 'every', 'always', 'never', 'only', 'over', 'under', 'through', 'directly', 'avoid', 'prohibited', 'forbidden', 'their', 'there', 'these', 'those', 'been', 'being', 'would', 'could', 'about'))"""
 
 
-@query(f"""WITH c AS (SELECT DISTINCT adr_id, source_uri AS r, source_uri || '#' || n AS c, {POLARITY.replace('{c}', 'sentence')} AS p, {_TERMS} AS t FROM {SENTENCES} WHERE adr_id IS NOT NULL),
-e AS (SELECT adr_id, r, c, p, len(t) AS size, unnest(t) AS term FROM c WHERE p IS NOT NULL)
-SELECT a.c AS a, b.c AS b, count(*) AS shared, CAST(0.5 AS DOUBLE) AS confidence FROM e a JOIN e b ON a.adr_id = b.adr_id AND a.term = b.term AND a.r <> b.r
+@query(r"""WITH d AS (SELECT DISTINCT d.source_uri AS r, coalesce(a.repo_id, e.repo_id) AS g, d.text FROM decision d LEFT JOIN (SELECT DISTINCT id, repo_id FROM adr_document) a ON a.id = d.adr_id LEFT JOIN (SELECT DISTINCT id, repo_id FROM episode) e ON e.id = d.episode_id),
+p AS (SELECT g, r, string_split(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM d WHERE g IS NOT NULL),
+"""
++ f"""c AS (SELECT DISTINCT g, r, r || '#' || n AS c, {POLARITY.replace('{c}', 'sentence')} AS p, {_TERMS} AS t FROM (SELECT g, r, generate_subscripts(s, 1) - 1 AS n, unnest(s) AS sentence FROM p)),
+e AS (SELECT g, r, c, p, len(t) AS size, unnest(t) AS term FROM c WHERE p IS NOT NULL)
+SELECT a.c AS a, b.c AS b, count(*) AS shared, CAST(0.5 AS DOUBLE) AS confidence FROM e a JOIN e b ON a.g = b.g AND a.term = b.term AND a.r <> b.r
 WHERE a.p = 'must' AND b.p = 'must_not' GROUP BY a.c, b.c, a.size, b.size HAVING count(*) >= 2 AND 2 * count(*) >= least(a.size, b.size)""")
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    """Across the decisions of a repository, whatever their parents; the SQL compares within one document version."""
+    """Across the decisions of a repository, whatever their parents."""
     rows = table(spark, d, "decision", "source_uri", "adr_id", "episode_id", "text").distinct()
     docs = table(spark, d, "adr_document", F.col("id").alias("adr_id"), F.col("repo_id").alias("doc_repo")).distinct()
     episodes = table(spark, d, "episode", F.col("id").alias("episode_id"), F.col("repo_id").alias("ep_repo")).distinct()
@@ -275,9 +277,9 @@ _LP = "SELECT src AS node, arg_min(label, (-n, label)) AS label FROM (SELECT l.s
 
 
 @query(f"""WITH o AS (SELECT DISTINCT from_id AS a, to_id AS b FROM symbol_edge WHERE to_id IS NOT NULL AND edge_type IN ('calls', 'imports') AND from_id <> to_id), l AS (SELECT a AS src, b AS dst FROM o UNION SELECT b, a FROM o),
-s0 AS (SELECT DISTINCT src AS node, src AS label FROM l), s1 AS ({_LP.format(p='s0')}), s2 AS ({_LP.format(p='s1')}), s3 AS ({_LP.format(p='s2')}) SELECT node, label FROM s3""")
+s0 AS (SELECT DISTINCT src AS node, src AS label FROM l), {', '.join(f"s{i} AS MATERIALIZED ({_LP.format(p=f's{i - 1}')})" for i in range(1, 21))} SELECT node, label FROM s20""")
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    """Labels after at most the reference's 20 rounds; the SQL stops after three."""
+    """Labels after at most 20 rounds."""
     edges = table(spark, d, "symbol_edge", "from_id", "to_id", "edge_type").where(F.col("edge_type").isin("calls", "imports"))
     return graph.label_propagation(edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), 20)
 
@@ -334,13 +336,12 @@ def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.nearest(_search(spark, d, -1.0), 10).select("query", "hit", "rank")
 
 
-_NEWEST = "(SELECT doc_id, row_number() OVER (ORDER BY created_at DESC, doc_id) AS rank FROM (SELECT doc_id, created_at FROM documents WHERE created_at IS NOT NULL ORDER BY created_at DESC, doc_id LIMIT 50))"
-_LONG = "(SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM (SELECT doc_id, n_chars FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 50))"
-_LISTS = f"SELECT 'keyword' AS list, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM {KEYWORDS} UNION ALL SELECT 'newest', doc_id, rank FROM {_NEWEST} UNION ALL SELECT 'longest', doc_id, rank FROM {_LONG}"
+_LISTS = f"""SELECT 'keyword' AS list, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, {_tf(BODY)} AS score FROM documents) WHERE score > 0
+UNION ALL SELECT 'newest', doc_id, row_number() OVER (ORDER BY created_at DESC, doc_id) FROM documents WHERE created_at IS NOT NULL UNION ALL SELECT 'longest', doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) FROM documents WHERE n_chars IS NOT NULL"""
 
 
 def _lists(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Whole ranked lists; those of the SQL end at rank 50."""
+    """Whole ranked lists."""
     docs = table(spark, d, "documents", "doc_id", "created_at", "n_chars")
     whole = lambda df, c: retrieval.ranked_whole(df.where(F.col(c).isNotNull()).select("doc_id", c), [F.desc(c), F.col("doc_id")])
     words = retrieval.keyword_scores(table(spark, d, "documents", "doc_id", "title", "text"), "doc_id", "title", "text", WORDS)

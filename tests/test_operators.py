@@ -41,8 +41,10 @@ def test_text_functions(spark):
     assert [tuple(r) for r in got] == [(2, 1, "must_not", 7, 6), (0, 0, None, 0, 0), (0, 0, None, 0, None), (0, 0, None, 3, 6)]
     one = lambda v, f: spark.createDataFrame([(v,)], "t string").select(f(c)).first()[0]
     assert one("a  b\n c ", tx.normal) == "a b c"
-    assert one("see ADR-7, rfc 12 and DR-0007", tx.document_references) == ["0007", "0012"]
-    assert one("PaymentServices_API", tx.entity_key) == "payment service"
+    assert one("see ADR-7, rfc 12 and DR-0008, adr 0042; ADR--00012", tx.document_references) == ["0007", "0042", "0012"]
+    for text, kind in [("Order state must never be mutated in place", "must_not"), ("Queries must use parameterized statements", "must"), ("Writes are prohibited on replicas", "must_not"), ("The service is event driven", None), ("Sharing tokens is forbidden", "must_not"), ("It should retry", None)]:
+        assert one(text, tx.polarity) == kind
+    assert one("PaymentServices_API", tx.entity_key) == "payment api" and one("billing-modules", tx.entity_key) == one("Billing", tx.entity_key) and one("Services", tx.entity_key) == "service"
     assert one("Merge pull request #42 from x/y", tx.merged_reference) == "42" and one("Fix it (#7)", tx.merged_reference) == "7"
     assert one("Fix (#7) early", tx.merged_reference) == "" and one("x\n\nSee merge request a/b!9", tx.merged_reference) == "9"
     assert one("git@host:own/name.git", tx.remote_owner) == "own/name" and one("https://u@host/own/name", tx.remote_owner) == "own/name"

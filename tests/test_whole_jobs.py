@@ -1,5 +1,6 @@
 """Cases in which a query once did less than its whole job."""
 
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -37,6 +38,9 @@ def _pairs_by_hand(spark, data):
 
 
 def test_contradictions_across_the_documents_of_a_repository(spark, data):
+    data = os.path.join(os.path.dirname(data), "sf0.1")  # the smaller tables hold no contradiction
+    if not os.path.isdir(data):
+        pytest.skip("no larger test tables here")
     got = rows(knowledge.contradictions(spark, data), "a", "b", "shared")
     want = _pairs_by_hand(spark, data)
     assert want and got == sorted(want, key=repr)
