@@ -15,8 +15,12 @@ from chronoweave.runtime import Rounds, broadcast_if_small, ship, spread
 
 #: Words of a sequence, least similarity, segments of a signature and values of a segment.
 SEQUENCE, SIMILARITY, SEGMENTS, VALUES = 3, 0.5, 16, 4
-#: A key with more members than this is cut further by signatures of another seed, at most so often.
-HOT_KEY, LEVELS = 500, 3
+#: Texts that share a key with more texts than this are paired by an exact index instead.
+HOT_KEY = 500
+#: A key that a batch of texts holds so often is counted along its task, so that no task sends many more rows than tell it is hot.
+FREQUENT = 16
+#: Seed of the hash functions.
+SEED = 11
 #: Values compared in the sketches, and the columns these travel in.
 FIELDS, MARKS = 64, ("s0", "s1", "s2", "s3")
 
@@ -88,8 +92,11 @@ def sketch(low: np.ndarray) -> np.ndarray:
     return np.array([np.bitwise_or.reduce(packed[i : i + 16]) for i in range(0, FIELDS, 16)])
 
 
-def _signatures(segments: int, values: int, length: int, seed: int, given: bool):
+def _signatures(segments: int, values: int, length: int, seed: int, hot_key: int):
+    """Rows (key, cid, marks) of each text, but no more than tell that a key is hot from one task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[int, int] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 4000):
                 part = batch.slice(lo, 4000)
@@ -98,18 +105,71 @@ def _signatures(segments: int, values: int, length: int, seed: int, given: bool)
                     continue
                 low = min_hashes(*sequence_hashes(texts, length), segments * values, seed)
                 keys = variant_keys(low, segments, values)
-                if given:
-                    keys = _mix(keys ^ part.column("key").to_numpy(zero_copy_only=False).astype(np.uint64))
-                marks = sketch(low)
                 n = len(keys)
                 # the rows of one text follow each other, which the shuffle's compression profits from
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.T.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, n)), *[pa.array(np.repeat(m, n).view(np.int64)) for m in marks]], names=["key", "cid", *MARKS]
-                )
+                flat, rows = keys.T.reshape(-1), np.repeat(np.arange(len(ids)), n)
+                often, counts = np.unique(flat, return_counts=True)
+                keep = np.ones(len(flat), bool)
+                for key in often[counts >= min(FREQUENT, hot_key + 1)]:
+                    at = np.flatnonzero(flat == key)
+                    before = sent.get(int(key), 0)
+                    keep[at[max(0, hot_key + 1 - before) :]] = False
+                    sent[int(key)] = before + len(at)
+                marks = sketch(low)
+                flat, rows = flat[keep], rows[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids[rows]), *[pa.array(m[rows].view(np.int64)) for m in marks]], names=["key", "cid", *MARKS])
+
+    return run
+
+
+def _in_hot_keys(segments: int, values: int, length: int, seed: int):
+    """(cid, key) of every key of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4000):
+                part = batch.slice(lo, 4000)
+                texts, ids = part.column("w").to_pylist(), part.column("cid").to_numpy(zero_copy_only=False)
+                if texts:
+                    keys = variant_keys(min_hashes(*sequence_hashes(texts, length), segments * values, seed), segments, values)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(keys))), pa.array(keys.T.reshape(-1).view(np.int64))], names=["cid", "key"])
 
     return run
 
 
+def _hashed(length: int):
+    """(cid, h): the distinct word sequences of each text, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("w").to_pylist()
+            if not texts:
+                continue
+            h, starts = sequence_hashes(texts, length)
+            own = [np.unique(x).view(np.int64) for x in np.split(h, starts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([x.tolist() for x in own], pa.list_(pa.int64()))], names=["cid", "h"])
+
+    return run
+
+
+def indexed_pairs(texts: DataFrame, length: int, similarity: float) -> DataFrame:
+    """(x, y): every pair of texts (cid, w) that may reach ``similarity``, by an index of their rarest sequences.
+
+    A text of n sequences that shares the given part of all with another one shares at least
+    s = ceil(similarity * n) of its own; in one order of all sequences, from the rarest to the
+    commonest, the first shared one then lies within the first n - s + 1 of both. Only those are
+    joined on, and a pair is kept at its first shared one alone.
+    """
+    each = texts.mapInArrow(_hashed(length), "cid long, h array<long>").select("cid", F.explode("h").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    order = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "h"))), lambda x: x["h"])  # the sequences of one text
+    sets = each.join(often, "h", "left").groupBy("cid").agg(order.alias("t"))
+    size = F.size("t")
+    first = sets.select("cid", F.slice("t", F.lit(1), size - F.ceil(size * similarity).cast("int") + 1).alias("t")).select("cid", "t", F.explode("t").alias("h"))
+    a, b = first.select("h", F.col("cid").alias("x"), F.col("t").alias("tx")), first.select("h", F.col("cid").alias("y"), F.col("t").alias("ty"))
+    return a.join(b, "h").where("x < y").where(F.array_intersect("tx", "ty")[0] == F.col("h")).select("x", "y")
+
+
 def paired(least: int, hot_key: int):
     """Pairs (x, y) of the rows of one key, over batches sorted by key, whose sketches agree in ``least`` fields.
 
@@ -197,10 +257,11 @@ def near_pairs(texts: DataFrame, *, length: int = SEQUENCE, similarity: float =
     A text's signature has ``segments`` segments of ``values`` min-hash values. Each segment is
     indexed once per value left out; texts sharing such a key differ in at most one value of the
     segment. The keys are joined by equality, candidates pass a comparison of sketches carried
-    with the keys, and the exact share of common sequences decides. At a similarity of exactly 0.5
-    one pair in 400 shares no key, at 0.6 one in 20 000. Keys with more than ``hot_key`` members
-    aren't paired: their members are cut again by signatures of another seed within the key, so no
-    group's pairs are all emitted; the last level pairs what is still together.
+    with the keys (one pair in 3 000 at the least similarity falls short), and the exact share of
+    common sequences decides. At a similarity of exactly 0.5 one pair in 400 shares no key, at 0.6
+    one in 20 000. Keys with more than ``hot_key`` members aren't paired: the texts in them are
+    paired by an index of their rarest sequences, which loses no pair; no task sends or holds many
+    more rows of a hot key than tell that it is one.
 
     ``w`` holds words joined by one blank; texts with fewer words than a sequence pair with nothing.
     """
@@ -209,27 +270,16 @@ def near_pairs(texts: DataFrame, *, length: int = SEQUENCE, similarity: float =
     rounds = Rounds(spark, "near_dup")
     base = texts.where(F.size(F.split("w", " ")) >= length)
     source = spread(base.select("cid", "w"))
-    found = []
-    least = _least_alike(similarity)
-    for level in range(LEVELS):
-        signed = source.mapInArrow(_signatures(segments, values, length, 11 + level, level > 0), "key long, cid long, " + ", ".join(f"{m} long" for m in MARKS))
-        pairs = signed.repartition("key").sortWithinPartitions("key").mapInArrow(paired(least, hot_key), "x long, y long").distinct()
-        step = rounds.cut(pairs, keep=True)
-        found.append(step.where("x IS NOT NULL"))
-        hot = step.where("x IS NULL").select(F.col("y").alias("key"))
-        if hot.isEmpty():
-            break
-        rows = signed.join(hot, "key").select("key", "cid").distinct()
-        if level == LEVELS - 1:
-            # what three independent signatures keep together is alike indeed: all its pairs are verified
-            found.append(rows.alias("a").join(rows.alias("b"), "key").where("a.cid < b.cid").select(F.col("a.cid").alias("x"), F.col("b.cid").alias("y")).distinct())
-            break
-        source = rounds.cut(rows.join(base, "cid").select("cid", "w", "key"), keep=True)
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    if len(found) > 1:
-        pairs = pairs.distinct()
+    signed = source.mapInArrow(_signatures(segments, values, length, SEED, hot_key), "key long, cid long, " + ", ".join(f"{m} long" for m in MARKS))
+    met = signed.repartition("key").sortWithinPartitions("key").mapInArrow(paired(_least_alike(similarity), hot_key), "x long, y long").distinct()
+    step = rounds.cut(met, keep=True)
+    pairs = step.where("x IS NOT NULL")
+    hot = step.where("x IS NULL").select(F.col("y").alias("key"))
+    if not hot.isEmpty():
+        keys = source.mapInArrow(_in_hot_keys(segments, values, length, SEED), "cid long, key long")
+        members = keys.join(broadcast_if_small(hot, 16), "key", "left_semi").select("cid").distinct()
+        inside = rounds.cut(base.join(members, "cid", "left_semi").select("cid", "w"), keep=True)
+        pairs = rounds.cut(pairs.unionByName(indexed_pairs(inside, length, similarity)).distinct(), keep=True)
     needed = broadcast_if_small(pairs, 24)
     left = base.select(F.col("cid").alias("x"), F.col("w").alias("wx")).join(needed, "x")
     both = left.join(base.select(F.col("cid").alias("y"), F.col("w").alias("wy")), "y")

@@ -15,14 +15,18 @@ from chronoweave.sources.tables import table
 
 
 def _near_decisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(uri, cid) of every decision that has a word sequence, and the pairs of different texts."""
+    """(uri, cid) of every decision that has a word sequence, and the pairs of different texts.
+
+    Texts are told apart by 128 bits and numbered once, so that no two share a number.
+    """
     rounds = Rounds(spark, "decision_texts")
-    rows = table(spark, d, "decision", "source_uri", "title", "text").where("source_uri IS NOT NULL").withColumn("cid", F.xxhash64("title", "text"))
+    code = F.unhex(F.md5(F.concat_ws("\x01", F.coalesce("title", F.lit("\x02")), F.coalesce("text", F.lit("\x02")))))
+    rows = table(spark, d, "decision", "source_uri", "title", "text").where("source_uri IS NOT NULL").withColumn("code", code)
     # copies of a text meet map-side and are cut into words once; neither frame gathers the uris of a text
-    texts = rows.groupBy("cid").agg(F.first(F.struct("title", "text")).alias("t")).select("cid", words(F.col("t.title"), F.col("t.text")).alias("w"))
-    texts = rounds.cut(texts.where(F.size(F.split("w", " ")) >= SEQUENCE), keep=True)
-    members = rows.select("cid", F.col("source_uri").alias("uri")).distinct().join(texts.select("cid"), "cid", "left_semi")
-    return members, near_pairs(texts)
+    texts = rows.groupBy("code").agg(F.first(F.struct("title", "text")).alias("t")).select("code", words(F.col("t.title"), F.col("t.text")).alias("w"))
+    texts = rounds.cut(texts.where(F.size(F.split("w", " ")) >= SEQUENCE).withColumn("cid", F.monotonically_increasing_id()), keep=True)
+    members = rows.select("code", F.col("source_uri").alias("uri")).distinct().join(texts.select("code", "cid"), "code").select("cid", "uri")
+    return members, near_pairs(texts.select("cid", "w"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.runtime import BROADCAST_BYTES, Rounds, broadcast_if_small, spread
+from chronoweave.runtime import BROADCAST_BYTES, Rounds, broadcast_if_small, measured_bytes, ship, spread
 
 #: Least seed documents of a telling word, and its least information (part of the most there can be).
 WORD_DOCS, INFORMATION = 2, 0.3
@@ -23,12 +28,57 @@ LEAD, SEVERAL = 0.25, 3
 MARKED, BASE = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
 
 
-def sentence_words(text: Column) -> Column:
-    """array<array<string>>: distinct words of each sentence or line; joined names in code count by their parts."""
-    plain = F.translate(F.regexp_replace(F.lower(F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2")), r"\p{M}+", ""), MARKED, BASE)
-    parts = F.split(plain, r"(?<=[.!?])\s+|[\r\n\x{2028}\x{2029}\x{85}]+")
-    words = F.transform(parts, lambda s: F.array_distinct(F.regexp_extract_all(s, F.lit(r"\p{L}{2,}"), F.lit(0))))
-    return F.filter(words, lambda w: F.size(w) > 0)
+_CAMEL, _MARKS = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})"), regex.compile(r"\p{M}+")
+_PARTS = re.compile("(?<=[.!?])\\s+|[\r\n\u2028\u2029\x85]+")
+_WORD = re.compile(r"[^\W\d_]{2,}")
+_SIMPLE = str.maketrans(MARKED, BASE)
+
+
+def sentence_words(text: str) -> list[set[str]]:
+    """Distinct words of each sentence or line; joined names in code count by their parts."""
+    plain = _CAMEL.sub(" ", text).lower()
+    if not plain.isascii():
+        plain = _MARKS.sub("", plain).translate(_SIMPLE)
+    words = (set(_WORD.findall(s)) for s in _PARTS.split(plain))
+    return [w for w in words if w]
+
+
+def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, s, word): the words of each sentence, by its number."""
+    for batch in batches:
+        at, number, out = [], [], []
+        for n, text in enumerate(batch.column("text").to_pylist()):
+            for s, words in enumerate(sentence_words(text)):
+                at += [n] * len(words)
+                number += [s] * len(words)
+                out += words
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(out, pa.string())], names=["doc_id", "s", "word"])
+
+
+def passages(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, t, n): the sets of telling words of each document's sentences, sorted, and their number.
+
+    The words of the hand-labelled documents are sent to the workers where their counted rows fit;
+    beyond that they are joined.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    if measured_bytes(table, 64) > BROADCAST_BYTES:
+        words = docs.mapInArrow(_all_words, f"doc_id {kind}, s int, word string").join(table, "word")
+        return words.groupBy("doc_id", "s").agg(F.array_sort(F.collect_list("word")).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("n"))
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in table.collect()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        telling = sent.value
+        for batch in batches:
+            at, sets, counts = [], [], []
+            for n, text in enumerate(batch.column("text").to_pylist()):
+                held = Counter(tuple(sorted(t)) for w in sentence_words(text) if (t := w & telling))
+                at += [n] * len(held)
+                sets += held.keys()
+                counts += held.values()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array([list(t) for t in sets], pa.list_(pa.string())), pa.array(counts, pa.int64())], names=["doc_id", "t", "n"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, t array<string>, n long")
 
 
 def telling_words(words: DataFrame, seeds: DataFrame, subjects: list[str]) -> DataFrame:
@@ -100,8 +150,6 @@ def propagate(run: Rounds, links: DataFrame, seeds: DataFrame, state: DataFrame
 
 def _within(*keys: str):
     """All rows of a key: at most one per subject."""
-    from pyspark.sql import Window
-
     return Window.partitionBy(*keys)
 
 
@@ -132,17 +180,17 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, *, do
     words and passages are broadcast only if their measured size allows.
     """
     spark = docs.sparkSession
+    ship(spark)
     run = Rounds(spark, "subjects")
     names = [r[0] for r in subjects.select(subject).where(F.col(subject).isNotNull()).distinct().orderBy(subject).collect()]
     kept = docs.where(F.length(F.trim(text)) > 0).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     seeds = labels.select(F.col(doc_id).alias("doc_id"), F.col(subject).alias("subject")).where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).distinct()
     seeds = run.cut(seeds.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("held")))  # at most one entry per subject
     shares = seeds.select("doc_id", F.explode("held").alias("subject"), (1.0 / F.size("held")).alias("share"))
-    own = kept.join(broadcast_if_small(seeds.select("doc_id"), 16), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(F.flatten(sentence_words(F.col("text"))))).alias("word"))
-    table = run.cut(telling_words(spread(own), shares, names))
-    words = spread(kept).select("doc_id", F.posexplode(sentence_words(F.col("text"))).alias("s", "w")).select("doc_id", "s", F.explode("w").alias("word"))
-    sentences = words.join(broadcast_if_small(table, 64), "word").groupBy("doc_id", "s").agg(F.array_sort(F.collect_list("word")).alias("t"))
-    spoken = run.cut(sentences.groupBy("doc_id", "t").agg(F.count("*").alias("n")).withColumn("p", F.md5(F.array_join("t", " "))))
+    own = kept.join(broadcast_if_small(seeds.select("doc_id"), 16), "doc_id", "left_semi")
+    own = spread(own).mapInArrow(_all_words, f"doc_id {dict(kept.dtypes)['doc_id']}, s int, word string").select("doc_id", "word").distinct()
+    table = run.cut(telling_words(own, shares, names))
+    spoken = run.cut(passages(spread(kept), table).withColumn("p", F.md5(F.array_join("t", " "))))
     links = run.cut(similar_passages(run.cut(spoken.groupBy("p").agg(F.first("t").alias("t")))))
     clamped, told, state = seeds, None, None
     for _ in range(2):
