@@ -50,12 +50,16 @@ def ranked_whole(df: DataFrame, order: list[Column]) -> DataFrame:
 
 def fuse(lists: dict[str, DataFrame], key: str, k: int) -> DataFrame:
     """(key, score, found_by): sum of 1 / (60 + rank) over ranked lists, best k, ties by key."""
+    return fuse_all(lists, key).orderBy(F.desc("score"), key).limit(k)
+
+
+def fuse_all(lists: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, score, found_by) of all rows of the lists."""
     parts = [df.select(key, "rank", F.lit(name).alias("list")) for name, df in lists.items()]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    scored = union.groupBy(key).agg(F.round(F.sum(1.0 / (RRF + F.col("rank"))), 9).alias("score"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("found_by"))
-    return scored.orderBy(F.desc("score"), key).limit(k)
+    return union.groupBy(key).agg(F.round(F.sum(1.0 / (RRF + F.col("rank"))), 9).alias("score"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("found_by"))
 
 
 def explain(lists: dict[str, DataFrame], key: str) -> DataFrame:

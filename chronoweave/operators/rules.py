@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,14 @@ def contradictions(found: DataFrame, group: str, row_id: str) -> DataFrame:
     ordered sets are written once, before the joins.
     """
     key = F.concat_ws("#", row_id, "n")
-    words = found.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), key.alias("c"), F.col(row_id).alias("r"), "polarity", content_terms(F.col("sentence")).alias("t")).distinct()
-    run = Rounds(found.sparkSession, "contradictions")
+    words = found.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), key.alias("c"), F.col(row_id).alias("r"), "polarity", content_terms(F.col("sentence")).alias("t"))
+    return opposite_pairs(words).select("a", "b", "shared", F.lit(0.5).alias("confidence"))
+
+
+def opposite_pairs(words: DataFrame) -> DataFrame:
+    """(a, b, shared) of constraints (g, c, r, polarity, t) of one group and different rows; see ``contradictions``."""
+    words = words.distinct()
+    run = Rounds(words.sparkSession, "contradictions")
     words = run.cut(words.where(F.size("t") >= 2).withColumn("k", F.xxhash64("c", "t")))
     each = words.select("g", "c", "k", "r", "polarity", F.explode("t").alias("term"))
     often = each.groupBy("g", "term").agg(F.count("*").alias("often"))
@@ -49,17 +56,31 @@ def contradictions(found: DataFrame, group: str, row_id: str) -> DataFrame:
     both = F.array_intersect("ta", "tb")
     pairs = met[0].unionByName(met[1]).where("ra <> rb").where(both[0] == F.col("term")).select("a", "b", F.size(both).alias("shared"), F.least(F.size("ta"), F.size("tb")).alias("least"))
     pairs = pairs.where((F.col("shared") >= 2) & (2 * F.col("shared") >= F.col("least")))
-    return pairs.select("a", "b", F.col("shared").cast("long").alias("shared"), F.lit(0.5).alias("confidence")).distinct()
+    return pairs.select("a", "b", F.col("shared").cast("long").alias("shared")).distinct()
 
 
-def violations(files: DataFrame, found: DataFrame, row_id: str) -> DataFrame:
-    """(file, row_id, matched): constraints one of whose content terms is part of a path segment.
+def touched(files: DataFrame, found: DataFrame, row_id: str, text: str, summary: str | None = None) -> DataFrame:
+    """(row_id, files, in_summary): constraints one of whose words of more than three bytes is part of a path's segment or of a summary's word.
 
-    Segments are cut into words first, so the match is an equality join on the word.
+    Words are looked up by equality: a segment is cut into all its parts, so that no constraint
+    meets every file. Paths are short; a change has few.
     """
-    segments = files.select("file", F.explode(F.array_distinct(F.split(F.lower("file"), r"[^a-z0-9]+"))).alias("term")).where(F.length("term") > 3)
-    words = found.select(F.col(row_id), F.explode(content_terms(F.col("sentence"))).alias("term")).distinct()
-    return segments.join(words, "term").groupBy("file", row_id).agg(F.count("*").alias("matched"))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.octet_length(w) > 3))
+    parts = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(i, F.length(c)), lambda j: F.substring(c, i, j - i + 1))))
+    segments = files.select("file", F.explode(F.split(F.lower("file"), "/")).alias("s")).where("s <> ''").distinct()
+    pieces = segments.select("file", F.explode(F.array_distinct(F.filter(parts(F.col("s")), lambda w: F.octet_length(w) > 3))).alias("w")).distinct()
+    each = found.select(F.col(row_id), F.explode(words(F.col(text))).alias("w")).distinct()
+    by_file = each.join(pieces, "w").groupBy(row_id).agg(F.array_sort(F.collect_set("file")).alias("files"))
+    told = [w for w in re.split(r"[\W_]+", (summary or "").lower()) if len(w.encode()) > 3]
+    hit = reduce(lambda a, b: a | b, [F.contains(F.lit(w), F.col("w")) for w in told], F.lit(False))
+    by_text = each.where(hit).select(row_id).distinct().withColumn("_told", F.lit(True))
+    both = by_file.join(by_text, row_id, "full")
+    return both.select(row_id, F.coalesce("files", F.array().cast("array<string>")).alias("files"), F.coalesce("_told", F.lit(False)).alias("in_summary"))
+
+
+def violations(files: DataFrame, found: DataFrame, row_id: str) -> DataFrame:
+    """(file, row_id): constraints one of whose words is part of a path segment."""
+    return touched(files, found, row_id, "sentence").select(F.explode("files").alias("file"), row_id).distinct()
 
 
 def fuse_signals(signals: dict[str, tuple[DataFrame, float]], key: str) -> DataFrame:
