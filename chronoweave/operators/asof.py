@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.runtime import SLICE_ROWS, hot_keys, ship
+from chronoweave.runtime import SLICE_ROWS, broadcast_if_small, broadcast_list, carried_min_before, hot_keys, quantile_cuts, quantile_grid, ship, slice_hot
 
 FOREVER = np.iinfo(np.int64).max
 #: Rows of both sides that one co-group task holds.
@@ -120,7 +120,7 @@ def as_known_at(
     those in force (valid_from <= t < valid_to) the latest ``valid_from`` wins. Events without an
     answer, and rows with a null key, time, ``valid_from`` or ``recorded``, give no row; repeated
     rows count once. Entities share co-groups of about ``group_rows`` rows; a hot entity is cut into
-    slices of time, in which a version takes part wherever its period reaches.
+    slices of time, in which a version takes part wherever the period reaches in which it may win.
     """
     spark = events.sparkSession
     ship(spark)
@@ -137,36 +137,60 @@ def as_known_at(
     ev, ve = ev.withColumn("_slice", F.lit(-1)), ve.withColumn("_slice", F.lit(-1))
     if hot:
         ev, ve = _slice_hot_entities(ev, ve, hot, slice_rows)
-        bucket = F.when(F.col("_slice") < 0, bucket).otherwise(F.pmod(F.xxhash64("entity", "_slice"), F.lit(groups)).cast("int") + groups)
-    left = ev.withColumn("_bucket", bucket).drop("_slice")
+        bucket = F.when(F.col("_slice") < 0, bucket).otherwise(F.pmod(F.xxhash64("entity", "_slice", "_deal"), F.lit(groups)).cast("int") + groups)
+    left = ev.withColumn("_bucket", bucket).drop("_slice", "_deal")
     # nulls would make pandas turn the numbers into floats
-    right = ve.withColumn("_bucket", bucket).drop("_slice").fillna(int(FOREVER), ["vt", "until"])
+    right = ve.withColumn("_bucket", bucket).drop("_slice", "_deal").fillna(int(FOREVER), ["vt", "until"])
     kinds = f"event_id {ek[event_id]}, row_id {vk[row_id]}"
     found = left.groupBy("_bucket").cogroup(right.groupBy("_bucket")).applyInPandas(lambda a, b: _match(a, b), kinds)
     return found
 
 
+def _without_dominated(rows: DataFrame, slice_rows: int) -> DataFrame:
+    """Ends each version of a hot entity where one of later ``vf`` begins that never ends itself: it can't be on top after that.
+
+    So an entity whose versions all stay open has periods that follow each other instead of
+    reaching to the end of time.
+    """
+    # of rows recorded at one instant any may be the one that counts, so all must be open
+    same = rows.groupBy("entity", "vf", "rec").agg(F.max("vt").alias("_vt"), F.max("until").alias("_until"))
+    open_start = F.when(F.col("_vt").isNull() & F.col("_until").isNull(), F.greatest("vf", "rec"))
+    per = same.groupBy("entity", "vf").agg(F.min(open_start).alias("_s")).withColumn("_back", -F.col("vf"))
+    per, hot = slice_hot(per, ["entity"], "_back", slice_rows)
+    per = carried_min_before(per, ["entity"], ["_back"], "_s", "_over", hot).select("entity", "vf", "_over")
+    return rows.join(per, ["entity", "vf"]).withColumn("until", F.least("until", "_over")).drop("_over")
+
+
 def _slice_hot_entities(ev: DataFrame, ve: DataFrame, hot: list, slice_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Cuts hot entities at quantiles of the event times; ends by replacement are set beforehand."""
-    is_hot = F.col("entity").isin(hot)
+    """Cuts hot entities at quantiles of the event times; ends by replacement are set beforehand.
+
+    Events of one slice that are still too many, as at one instant, are dealt to several groups,
+    each with the versions of the slice.
+    """
+    spark = ev.sparkSession
+    kind = dict(ev.dtypes)["entity"]
+    few = broadcast_list(spark, [(h,) for h in hot], f"entity {kind}", 64)
+    hot_ev, hot_ve = (x.join(few, "entity", "left_semi") for x in (ev.drop("_slice"), ve.drop("_slice")))
     w = Window.partitionBy("entity", "vf").orderBy("rec")
     # rows of one recording instant keep a common end, so that the co-group still settles the tie
-    ends = ve.where(is_hot).groupBy("entity", "vf", "rec").agg(F.lit(1).alias("one")).withColumn("until", F.lead("rec").over(w)).drop("one")
-    hot_rows = ve.where(is_hot).distinct().drop("until").join(ends, ["entity", "vf", "rec"])
-    both = ev.where(is_hot).select("entity", "t").unionByName(hot_rows.select("entity", F.greatest("vf", "rec").alias("t")))
-    n = both.groupBy("entity").agg(F.count("*").alias("n"), F.expr("approx_percentile(t, array(" + ", ".join(f"{i / 200:.3f}D" for i in range(1, 200)) + "), 20000)").alias("q")).collect()
-    cuts = []
-    for r in n:  # one row per hot entity
-        parts = min(200, max(2, -(-r["n"] // slice_rows)))
-        cuts.append((r["entity"], sorted({r["q"][min(198, max(0, round(200 * i / parts) - 1))] for i in range(1, parts)})))
-    kind = dict(ev.dtypes)["entity"]
-    table = F.broadcast(ev.sparkSession.createDataFrame(cuts, f"entity {kind}, _cuts array<bigint>"))
+    ends = hot_ve.groupBy("entity", "vf", "rec").agg(F.lit(1).alias("one")).withColumn("until", F.lead("rec").over(w)).drop("one")
+    rows = _without_dominated(hot_ve.distinct().drop("until").join(ends, ["entity", "vf", "rec"]), slice_rows)
+    both = hot_ev.select("entity", "t").unionByName(rows.select("entity", F.greatest("vf", "rec").alias("t")))
+    most = both.groupBy("entity").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n = both.groupBy("entity").agg(F.count("*").alias("n"), F.expr(f"approx_percentile(t, {quantile_grid(-(-most // slice_rows))})").alias("q")).collect()  # one row per hot entity
+    cuts = [(r["entity"], quantile_cuts(max(r["n"], slice_rows + 1), r["q"], slice_rows)) for r in n]
+    table = broadcast_list(spark, cuts, f"entity {kind}, _cuts array<bigint>", 64 + 8 * max((len(c) for _, c in cuts), default=0))
     part = lambda c: F.expr(f"size(filter(_cuts, c -> c <= {c}))")
-    hot_ev = ev.where(is_hot).drop("_slice").join(table, "entity").withColumn("_slice", part("t")).drop("_cuts")
-    hot_ve = (
-        hot_rows.drop("_slice").join(table, "entity").withColumn("_a", F.greatest("vf", "rec")).withColumn("_z", F.least("vt", "until"))
+    hot_ev = hot_ev.join(table, "entity").withColumn("_slice", part("t")).drop("_cuts")
+    deals = hot_ev.groupBy("entity", "_slice").agg(F.ceil(F.count("*") / (2 * slice_rows)).cast("int").alias("_deals")).where("_deals > 1")
+    deals = broadcast_if_small(deals, 96)
+    hot_ev = hot_ev.join(deals, ["entity", "_slice"], "left").withColumn("_deal", F.pmod(F.xxhash64("event_id"), F.coalesce("_deals", F.lit(1))).cast("int")).drop("_deals")
+    rows = (
+        rows.join(table, "entity").withColumn("_a", F.greatest("vf", "rec")).withColumn("_z", F.least("vt", "until"))
         .where("_z IS NULL OR _a < _z")
         .withColumn("_slice", F.explode(F.sequence(part("_a"), F.when(F.col("_z").isNull(), F.size("_cuts")).otherwise(part("_z - 1")))))
         .drop("_a", "_z", "_cuts")
     )
-    return ev.where(~is_hot).unionByName(hot_ev), ve.where(~is_hot).unionByName(hot_ve)
+    rows = rows.join(deals, ["entity", "_slice"], "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    rest = lambda x: x.join(few, "entity", "left_anti").withColumn("_deal", F.lit(0))
+    return rest(ev).unionByName(hot_ev), rest(ve).unionByName(rows)

@@ -61,16 +61,30 @@ def ship(spark: SparkSession) -> None:
     context._chronoweave_shipped = True
 
 
+#: Folders of tables each application has written, for ``clear``.
+_WRITTEN: dict[str, set[str]] = {}
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables written between rounds; frames that still read them can't be used after."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for base in _WRITTEN.pop(spark.sparkContext.applicationId, set()):
+        p = jvm.org.apache.hadoop.fs.Path(base)
+        p.getFileSystem(conf).delete(p, True)
+
+
 class Rounds:
     """Tables written between the rounds of an iterative operator.
 
     Each ``cut`` writes the frame to the shared folder and reads it back, so that lineage stays
-    short and a lost executor costs no recomputation. ``drop`` deletes tables no later plan reads.
+    short and a lost executor costs no recomputation. ``drop`` deletes tables no later plan reads;
+    those a returned frame still reads stay until ``clear``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(self.base)
         self.n = 0
         self.paths: dict[int, str] = {}
 
@@ -204,6 +218,17 @@ def carried_total(df: DataFrame, key: Sequence[str], value: str, out: str, hot:
     return _with_edges(df, key, whole).withColumn(out, F.coalesce("_carry", out)).drop("_carry")
 
 
+def carried_min_before(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, out: str, hot: bool) -> DataFrame:
+    """Least ``value`` of the rows of the key that stand before the row in ``order``."""
+    before = lambda *part: Window.partitionBy(*part)
+    df = df.withColumn(out, F.min(value).over(before(*key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    if not hot:
+        return df
+    earlier = before(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    edges = df.where("_slice >= 0").groupBy(*key, "_slice").agg(F.min(value).alias("_min")).withColumn("_carry", F.min("_min").over(earlier)).select(*key, "_slice", "_carry")
+    return _with_edges(df, key, edges).withColumn(out, F.least(out, "_carry")).drop("_carry")
+
+
 def carried_next(df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, out: str, hot: bool, back: bool = False) -> DataFrame:
     """``value`` of the next row per key in ascending ``order`` (with ``back``: of the previous row)."""
     w = Window.partitionBy(*key, "_slice").orderBy(*order)

@@ -58,3 +58,14 @@ def test_hot_entity_sliced_like_unsliced(spark):
         want += [] if n is None else [(eid, versions[n][0])]
     assert rows(as_known_at(e, v, **ARGS)) == sorted(want)
     assert rows(as_known_at(e, v, slice_rows=20, **ARGS)) == sorted(want)
+    for size in (3, 7):
+        assert rows(as_known_at(e, v, slice_rows=size, **ARGS)) == sorted(want)
+
+
+def test_hot_instants_are_dealt(spark):
+    versions = [("v1", "hot", 0, None, 0, 0, ""), ("v2", "hot", 5, 7, 9, 0, ""), ("v3", "hot", 5, None, 9, 0, "")] + [(f"w{i}", "hot", 10 + i, None, 12 + i, 0, "") for i in range(30)]
+    events = [(f"e{i:03d}", "hot", 20, "") for i in range(90)] + [("f", "hot", 9, ""), ("g", "hot", 4, "")]
+    e, v = spark.createDataFrame(events, EV), spark.createDataFrame(versions, VE)
+    whole = rows(as_known_at(e, v, **ARGS))
+    assert whole[0] == ("e000", "w8") and whole[-2:] == [("f", "v3"), ("g", "v1")] and len(whole) == 92
+    assert rows(as_known_at(e, v, slice_rows=5, **ARGS)) == whole
