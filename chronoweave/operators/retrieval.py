@@ -71,12 +71,13 @@ def explain(lists: dict[str, DataFrame], key: str) -> DataFrame:
     return union
 
 
-def cosine_search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+def cosine_search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, threshold: float, best: int | None = None) -> DataFrame:
     """(query, hit, cosine) of all rows whose cosine with a query vector reaches the threshold, itself left out.
 
     The queries are read in blocks of BLOCK vectors; each block meets every row in one matrix
-    product per batch. Vectors of another length than the block's, empty ones and those of zero
-    norm have cosine 0.
+    product per batch and length of vectors. Vectors of different lengths, empty and null ones and
+    those of zero norm have cosine 0, and are hits where the threshold allows that. With ``best``
+    each batch gives no more than its best hits of a query, ties by hit, which ``nearest`` merges.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -84,29 +85,40 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, key: str, vector: str,
     out, block = None, []
 
     def search(rows: list) -> DataFrame:
-        width = max((len(v) for _, v in rows if v), default=0)
-        own = [(k, v) for k, v in rows if v is not None and len(v) == width and any(v)]
-        ids = np.array([k for k, _ in own])
-        q = np.array([v for _, v in own], np.float64).reshape(len(own), width)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        sent = spark.sparkContext.broadcast((ids, q))
+        ids = np.array([k for k, _ in rows])
+        widths = np.array([len(v) if v else 0 for _, v in rows], np.int64)
+        by_width = {}
+        for n in np.unique(widths[widths > 0]).tolist():
+            at = np.flatnonzero(widths == n)
+            q = np.array([rows[i][1] for i in at], np.float64).reshape(len(at), n)
+            by_width[n] = (at, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300))
+        sent = spark.sparkContext.broadcast((ids, by_width))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
+            ids, by_width = sent.value
             for batch in batches:
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
-                rows = [(i, v) for i, v in enumerate(batch.column(1).to_pylist()) if v and len(v) == q.shape[1]]
-                at = np.array([i for i, _ in rows], np.int64)
-                m = np.array([v for _, v in rows], np.float64).reshape(len(rows), q.shape[1])
-                c = (q @ m.T) / np.maximum(np.linalg.norm(m, axis=1), 1e-300)
-                x, y = np.nonzero(c >= threshold)
-                same = ids[x] == keys[at[y]] if len(x) else np.zeros(0, bool)
-                x, y = x[~same], y[~same]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(keys[at[y]]), pa.array(c[x, y])], names=["query", "hit", "cosine"])
-
-        return vectors.select(key, vector).mapInArrow(run, f"query {kind}, hit {kind}, cosine double")
-
-    for r in queries.select(key, vector).toLocalIterator():
+                vectors = batch.column(1).to_pylist()
+                sizes = np.array([len(v) if v else 0 for v in vectors], np.int64)
+                c = np.zeros((len(ids), len(keys)))
+                for n, (at, q) in by_width.items():
+                    own = np.flatnonzero(sizes == n)
+                    if len(own):
+                        m = np.array([vectors[i] for i in own], np.float64).reshape(len(own), n)
+                        c[np.ix_(at, own)] = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
+                keep = (c >= threshold) & (ids[:, None] != keys[None, :])
+                x, y = np.nonzero(keep)
+                if best is not None and len(x):
+                    order = np.lexsort((keys[y], -c[x, y], x))
+                    x, y = x[order], y[order]
+                    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                    place = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+                    x, y = x[place < best], y[place < best]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(keys[y]), pa.array(c[x, y])], names=["query", "hit", "cosine"])
+
+        return vectors.select(key, vector).where(F.col(key).isNotNull()).mapInArrow(run, f"query {kind}, hit {kind}, cosine double")
+
+    for r in queries.select(key, vector).where(F.col(key).isNotNull()).toLocalIterator():
         block.append((r[0], r[1]))
         if len(block) == BLOCK:
             out, block = search(block) if out is None else out.unionByName(search(block)), []

@@ -59,18 +59,24 @@ def opposite_pairs(words: DataFrame) -> DataFrame:
     return pairs.select("a", "b", F.col("shared").cast("long").alias("shared")).distinct()
 
 
-def touched(files: DataFrame, found: DataFrame, row_id: str, text: str, summary: str | None = None) -> DataFrame:
-    """(row_id, files, in_summary): constraints one of whose words of more than three bytes is part of a path's segment or of a summary's word.
+def _met(files: DataFrame, found: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(row_id, w), the words of more than three bytes of each constraint, and (row_id, file, w) of those that are part of a path's segment.
 
-    Words are looked up by equality: a segment is cut into all its parts, so that no constraint
-    meets every file. Paths are short; a change has few.
+    Segments are cut into all their parts, so that words are looked up by equality and no
+    constraint meets every file. Paths are short; a change has few.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.octet_length(w) > 3))
     parts = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(i, F.length(c)), lambda j: F.substring(c, i, j - i + 1))))
     segments = files.select("file", F.explode(F.split(F.lower("file"), "/")).alias("s")).where("s <> ''").distinct()
     pieces = segments.select("file", F.explode(F.array_distinct(F.filter(parts(F.col("s")), lambda w: F.octet_length(w) > 3))).alias("w")).distinct()
     each = found.select(F.col(row_id), F.explode(words(F.col(text))).alias("w")).distinct()
-    by_file = each.join(pieces, "w").groupBy(row_id).agg(F.array_sort(F.collect_set("file")).alias("files"))
+    return each, each.join(pieces, "w")
+
+
+def touched(files: DataFrame, found: DataFrame, row_id: str, text: str, summary: str | None = None) -> DataFrame:
+    """(row_id, files, in_summary): constraints one of whose words is part of a path's segment or of a summary's word."""
+    each, met = _met(files, found, row_id, text)
+    by_file = met.groupBy(row_id).agg(F.array_sort(F.collect_set("file")).alias("files"))
     told = [w for w in re.split(r"[\W_]+", (summary or "").lower()) if len(w.encode()) > 3]
     hit = reduce(lambda a, b: a | b, [F.contains(F.lit(w), F.col("w")) for w in told], F.lit(False))
     by_text = each.where(hit).select(row_id).distinct().withColumn("_told", F.lit(True))
@@ -79,8 +85,8 @@ def touched(files: DataFrame, found: DataFrame, row_id: str, text: str, summary:
 
 
 def violations(files: DataFrame, found: DataFrame, row_id: str) -> DataFrame:
-    """(file, row_id): constraints one of whose words is part of a path segment."""
-    return touched(files, found, row_id, "sentence").select(F.explode("files").alias("file"), row_id).distinct()
+    """(file, row_id, matched): constraints some of whose words are part of a path's segments, and how many."""
+    return _met(files, found, row_id, "sentence")[1].groupBy("file", row_id).agg(F.count("*").alias("matched"))
 
 
 def fuse_signals(signals: dict[str, tuple[DataFrame, float]], key: str) -> DataFrame:

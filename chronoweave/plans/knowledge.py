@@ -321,9 +321,9 @@ def containment(spark: SparkSession, d: str) -> DataFrame:
 NEAR = "(SELECT q.vec_id AS query, v.vec_id AS hit, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS c FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)"
 
 
-def _search(spark: SparkSession, d: str, threshold: float) -> DataFrame:
+def _search(spark: SparkSession, d: str, threshold: float, best: int | None = None) -> DataFrame:
     rows = table(spark, d, "embeddings", "vec_id", "embedding")
-    return retrieval.cosine_search(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", threshold)
+    return retrieval.cosine_search(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", threshold, best)
 
 
 @query(f"SELECT query, hit, round(c, 6) AS cosine FROM {NEAR} WHERE c >= 0.3")
@@ -333,7 +333,7 @@ def semantic_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT query, hit, row_number() OVER (PARTITION BY query ORDER BY c DESC, hit) AS rank FROM {NEAR} QUALIFY rank <= 10")
 def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.nearest(_search(spark, d, -1.0), 10).select("query", "hit", "rank")
+    return retrieval.nearest(_search(spark, d, -1.0, 10), 10).select("query", "hit", "rank")
 
 
 _LISTS = f"""SELECT 'keyword' AS list, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, {_tf(BODY)} AS score FROM documents) WHERE score > 0

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.functions.text import OBLIGATION, PROHIBITION
 from chronoweave.runtime import ship
 
+# What makes a line of a record a constraint.
+BINDING = ("must not", "must ", "shall not", "shall ", "required to", "is prohibited", "are prohibited", "never ", "always ", "cannot ", "may not")
 FIELDS = "path string, adr_id string, title string, status string, date string, supersedes array<string>, mentions array<string>, decision string, constraints array<string>, errors array<string>"
 
 _HEAD = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
@@ -58,11 +59,10 @@ def parse_record(path: str, text: str | None) -> dict:
         number = re.match(r"(\d+)", path.rsplit("/", 1)[-1])
         out["adr_id"] = f"ADR-{int(number[1]):04d}" if number else None
     out["mentions"] = sorted(set(_PATH.findall(text or "")))
-    marks = (*PROHIBITION, *OBLIGATION)
     for part in ("decision", "consequence"):
         for line in (named(part) or "").splitlines():
             line = line.strip("-* \t")
-            if len(line.encode()) >= 10 and any(m in line.lower() for m in marks):
+            if len(line.encode()) >= 10 and any(m in line.lower() for m in BINDING):
                 out["constraints"].append(line)
     for key in ("adr_id", "title", "status", "decision"):
         if not out[key]:

@@ -122,3 +122,13 @@ def test_providers(spark):
 def test_literal_instant(spark):
     df = spark.createDataFrame([(datetime(2023, 6, 1), None)], "valid_from timestamp_ntz, valid_to timestamp_ntz")
     assert temporal.as_of(df, temporal.instant("2023-06-01 00:00:00")).count() == 1
+
+
+def test_cosines_of_mixed_lengths(spark):
+    data = [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [1.0, 0.0, 0.0]), ("d", []), ("e", None), ("f", [0.0, 0.0]), ("g", [1.0, 0.0, 0.1])]
+    v = spark.createDataFrame(data, "k string, v array<float>")
+    found = {(q, h): round(c, 3) for q, h, c in rows(retrieval.cosine_search(v, v.where("k IN ('a', 'c')"), "k", "v", -1.0))}
+    assert len(found) == 12 and found["a", "b"] == 0.995 == found["c", "g"] and {found["a", x] for x in "cdefg"} == {0.0}
+    assert {(q, h) for q, h, _ in rows(retrieval.cosine_search(v, v.where("k IN ('a', 'c')"), "k", "v", 0.5))} == {("a", "b"), ("c", "g")}
+    top = retrieval.nearest(retrieval.cosine_search(v, v.where("k = 'a'"), "k", "v", -1.0, best=2), 2)
+    assert rows(top, "hit", "rank") == [("b", 1), ("c", 2)]

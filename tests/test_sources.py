@@ -6,7 +6,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from chronoweave.sources.code import extract, extract_files, ignored
 from chronoweave.sources.markdown import parse_record, read_records
-from chronoweave.streaming.incremental import VersionedState, file_stream, run_into, upsert_latest, windowed_counts, without_repeats
+from chronoweave.streaming.incremental import PartedState, VersionedState, file_stream, run_into, run_into_parts, sliding_counts, upsert_latest, windowed_counts, without_repeats
 
 RECORD = """# ADR-0012: Keep the ledger
 Date: 2021-03-04
@@ -33,7 +33,7 @@ def test_record():
     r = parse_record("docs/0012-ledger.md", RECORD)
     assert (r["adr_id"], r["title"], r["status"], r["date"]) == ("ADR-0012", "Keep the ledger", "Accepted", "2021-03-04")
     assert r["supersedes"] == ["ADR-0003", "RFC-7"] and r["mentions"] == ["lib/x.py", "src/app/main.rs"]
-    assert len(r["constraints"]) == 2 and r["errors"] == []
+    assert r["constraints"] == ["Writers must never skip the journal."] and r["errors"] == []
     bare = parse_record("docs/0044-x.md", None)
     assert bare["adr_id"] == "ADR-0044" and bare["errors"] == ["no title", "no status", "no decision"]
 
@@ -90,3 +90,27 @@ def test_windows_and_repeats(spark, tmp_path):
     q = w.writeStream.format("memory").queryName("counts").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["k"], r["n"]) for r in spark.table("counts").collect()} == {("x", 2), ("y", 1)}
+
+
+def test_parts_are_rewritten_only_where_touched(spark, tmp_path):
+    parts = [[(f"k{i}", i, 1) for i in range(20)], [("k3", 99, 9), ("new", 1, 1)], [("k3", 5, 2)]]
+    change = lambda s, b: upsert_latest(s, b, ["id"], ["at", "v"])
+    state = PartedState(spark, str(tmp_path / "state"), SCHEMA, ["id"], parts=8)
+    assert rows(state.read()) == [] and state.manifest() == (-1, {})
+    for i, p in enumerate(parts):
+        spark.createDataFrame(p, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run_into_parts(file_stream(spark, str(tmp_path / "in"), SCHEMA, 1), state, change, str(tmp_path / "cp")).awaitTermination(120)
+    full = upsert_latest(spark.createDataFrame([], SCHEMA), spark.createDataFrame(sum(parts, []), SCHEMA), ["id"], ["at", "v"])
+    assert rows(state.read()) == rows(full) and len(rows(full)) == 21
+    version, held = state.manifest()
+    assert version == 2 and 0 in held.values() and len(held) <= 8
+    state.apply(spark.createDataFrame([("k1", 7, 70)], SCHEMA), 2, change)  # a batch that comes again
+    assert rows(state.read()) == rows(full)
+
+
+def test_sliding_windows(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-01 00:07:00", "x"), ("2024-01-01 00:12:00", "x"), ("2024-01-01 03:00:00", "z")], "t string, k string").select(F.col("t").cast("timestamp").alias("t"), "k")
+    df.write.parquet(str(tmp_path / "in"))
+    s = sliding_counts(file_stream(spark, str(tmp_path / "in"), df.schema), "t", "10 minutes", "5 minutes", ["k"], "10 minutes")
+    s.writeStream.format("memory").queryName("slides").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    assert {(str(r["start"])[11:16], r["n"]) for r in spark.table("slides").collect()} == {("00:00", 1), ("00:05", 2), ("00:10", 1)}
