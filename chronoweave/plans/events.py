@@ -52,7 +52,7 @@ def streamed_latest(spark: SparkSession, d: str) -> DataFrame:
     schema = StructType.fromDDL("user_id long, event_type string, ts timestamp_ntz, event_id long")
     base = Rounds(spark, "streamed").base
     state = PartedState(spark, f"{base}/state", schema, ["user_id", "event_type"], parts=8)
-    stream = spark.readStream.schema(COLUMNS["events"]).parquet(f"{d}/events.parquet").select(*schema.names)
+    stream = spark.readStream.schema(COLUMNS["events"]).parquet(f"{d}/event[s].parquet").select(*schema.names)  # a stream takes folders and patterns, no single file
     run_into_parts(stream, state, lambda old, batch: upsert_latest(old, batch, ["user_id", "event_type"], ["ts", "event_id"]), f"{base}/checkpoint").awaitTermination()
     return state.read()
 
