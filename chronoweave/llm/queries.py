@@ -70,6 +70,13 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_clean": p9_clean, "p10_found": p10_found, "p10_composition": p10_composition}
 
 SQL = {
+    "p4_found": r"""
+WITH t AS (SELECT DISTINCT source_uri AS u, regexp_extract_all(lower(concat_ws(' ', title, text)), '[\p{L}\p{N}]+') AS w FROM decision WHERE source_uri IS NOT NULL),
+g AS (SELECT u, row_number() OVER () AS k, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t WHERE len(w) >= 3),
+e AS (SELECT u, k, len(s) AS n, unnest(s) AS s FROM g)
+SELECT DISTINCT uri_a, uri_b FROM (
+  SELECT least(a.u, b.u) AS uri_a, greatest(a.u, b.u) AS uri_b FROM e a JOIN e b ON a.s = b.s AND a.k < b.k AND a.u <> b.u GROUP BY a.u, b.u, a.k, b.k, a.n, b.n HAVING 2 * count(*) >= a.n + b.n - count(*))
+""",
     "p5_found": """
 WITH RECURSIVE e AS (SELECT DISTINCT loser_id AS u, survivor_id AS v FROM decision_merge WHERE similarity >= CAST(0.9 AS FLOAT) AND loser_id <> survivor_id),
 s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
