@@ -7,30 +7,31 @@ from pyspark.sql import functions as F
 
 from chronoweave.runtime import BROADCAST_BYTES, Rounds
 
-#: Joins between two tables of a jumping round: pointers grow (JUMPS + 1)-fold a round.
-JUMPS = 3
+#: Joins between two tables of a jumping round, where pointers are shuffled and where they are
+#: broadcast: pointers grow (joins + 1)-fold a round.
+JUMPS, SMALL_JUMPS = 3, 7
 #: Bytes a pointer takes as the small side of a join.
 POINTER_BYTES = 160
 
 
-def to_roots(rounds: Rounds, pointers: DataFrame, rows: int) -> DataFrame:
+def to_roots(rounds: Rounds, pointers: DataFrame, small: bool) -> DataFrame:
     """(node, label) with every label moved to the end of its chain of pointers.
 
-    A root points to itself. Each round replaces the pointers by those (JUMPS + 1) times as long,
-    so a chain of n links takes log n rounds; the last one is that in which no pointer moved.
+    A root points to itself. Each round replaces the pointers by those several times as long, so a
+    chain of n links takes log n rounds; the last one is that in which no pointer moved. ``small``
+    tells that the counted pointers may be broadcast.
     """
     while True:
         ahead = pointers.select(F.col("node").alias("label"), F.col("label").alias("_label"))
-        if rows * POINTER_BYTES <= BROADCAST_BYTES:
-            ahead = F.broadcast(ahead)
+        ahead = F.broadcast(ahead) if small else ahead
         jumped = pointers.select("node", "label", F.col("label").alias("before"))
-        for _ in range(JUMPS):
+        for _ in range(SMALL_JUMPS if small else JUMPS):
             jumped = jumped.join(ahead, "label").select("node", F.col("_label").alias("label"), F.col("label").alias("before"))
-        fresh = rounds.cut(jumped)
+        fresh, seen = rounds.counted(jumped, moved=F.col("label") != F.col("before"))
         rounds.drop(pointers)
         pointers = fresh
         # a pointer that the last step left in place stands at a root
-        if pointers.where("label <> before").isEmpty():
+        if not seen["moved"]:
             return pointers
 
 
@@ -50,30 +51,26 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """
     rounds = Rounds(pairs.sparkSession, "components")
     one = pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    edges = rounds.cut(one)
-    left = edges.count()
-    labels = None
-    while left:
+    edges, seen = rounds.counted(one)
+    jumps: list[tuple[DataFrame, bool]] = []
+    while seen["rows"]:
         # u < v on every edge: the least neighbour of a vertex, if less than itself, is a u
         low = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
         both = edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct().unionByName(low)
-        step = rounds.cut(both.groupBy("node").agg(F.min("label").alias("label")))
-        rows = step.count()
-        jump = to_roots(rounds, step, rows)
-        small = rows * POINTER_BYTES <= BROADCAST_BYTES
+        step = both.groupBy("node").agg(F.min("label").alias("label"))
+        # an edge has two vertices at most
+        small = 2 * seen["rows"] * POINTER_BYTES <= BROADCAST_BYTES
+        jump = to_roots(rounds, step if small else rounds.cut(step), small)
+        jumps.append((jump, small))
         side = F.broadcast(jump) if small else jump
         moved = edges.join(side.select(F.col("node").alias("u"), F.col("label").alias("_u")), "u").join(side.select(F.col("node").alias("v"), F.col("label").alias("_v")), "v")
-        fresh = rounds.cut(moved.where("_u <> _v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct())
+        fresh, seen = rounds.counted(moved.where("_u <> _v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct())
         rounds.drop(edges)
-        edges, left = fresh, fresh.count()
-        if labels is None:
-            labels = jump
-        else:
-            over = side.select(F.col("node").alias("label"), F.col("label").alias("_label"))
-            merged = rounds.cut(labels.join(over, "label", "left").select("node", F.coalesce("_label", "label").alias("label")))
-            rounds.drop(labels, jump)
-            labels = merged
-    if labels is None:
+        edges = fresh
+    if not jumps:
         return one.select(F.col("u").alias("group_id"), F.col("v").alias("member"))
-    rounds.drop(edges)
+    labels = jumps[0][0].select("node", "label")
+    for jump, small in jumps[1:]:
+        over = jump.select(F.col("node").alias("label"), F.col("label").alias("_label"))
+        labels = labels.join(F.broadcast(over) if small else over, "label", "left").select("node", F.coalesce("_label", "label").alias("label"))
     return labels.select(F.col("label").alias("group_id"), F.col("node").alias("member"))

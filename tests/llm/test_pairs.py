@@ -37,6 +37,14 @@ def test_pairs_equal_brute_force(spark, hot):
     assert len(got) >= (1.0 if hot == 500 else 0.97) * len(want)
 
 
+def test_texts_in_hot_keys_lose_no_pair(spark):
+    base = "the same long notice goes out to every reader of the house each morning".split()
+    family = [" ".join(base[:i] + [f"x{i}", f"y{j}"] + base[i + 1 :]) for i in range(len(base)) for j in range(3)]
+    texts = list(enumerate(family)) + [(i + 100, t) for i, t in corpus(3, 8)]
+    got = {(a, b) for a, b, _ in rows(near_pairs(spark.createDataFrame(texts, "cid long, w string"), hot_key=1))}
+    assert got == {(a, b) for a, x in texts for b, y in texts if a < b and share(x, y) >= 0.5} and len(got) > 100
+
+
 def test_words(spark):
     df = spark.createDataFrame([("It's  A_b", "Über-42"), (None, "x"), (None, None)], "a string, b string")
     assert [r[0] for r in df.select(words(F.col("a"), F.col("b"))).collect()] == ["it s a b über 42", "x", ""]
