@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from chronoweave.runtime import BROADCAST_BYTES, SLICE_ROWS, Rounds, broadcast_if_small, carried_next, ship, slice_hot
 
-#: Joins a round makes before its table is written: with n of them a jump grows (n + 1)-fold a round.
-HOPS = 3
+#: Joins a round makes before its table is written, where pointers are shuffled and where they are
+#: broadcast: with n of them a jump grows (n + 1)-fold a round.
+HOPS, SMALL_HOPS = 3, 7
 #: Bytes a pointer takes as the small side of a join.
 POINTER_BYTES = 96
 
@@ -32,25 +33,28 @@ def _side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows * POINTER_BYTES <= BROADCAST_BYTES else df
 
 
+def _hops(rows: int) -> int:
+    return SMALL_HOPS if rows * POINTER_BYTES <= BROADCAST_BYTES else HOPS
+
+
 def _peel(rounds: Rounds, parent: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None]:
     """Splits the nodes of (node, up) into the forest (node) and, if any, (node, entry on a cycle).
 
-    A round peels four times as many layers as the one before: ``jump`` is the node's 4^k-th
-    ancestor, and nodes without one hang from a root. Depths have no gaps, so once a round settles
+    A round peels four or eight times as many layers as the one before: ``jump`` is the node's 4^k-th
+    (or 8^k-th) ancestor, and nodes without one hang from a root. Depths have no gaps, so once a round settles
     no node the rest hangs from cycles. The images of the rest shrink as leaves are peeled; once
     they don't, they are the nodes on cycles.
     """
-    state = rounds.cut(parent.select("node", F.col("up").alias("jump")))
-    left = -1
+    state, seen = rounds.counted(parent.select("node", F.col("up").alias("jump")), left=F.col("jump").isNotNull())
+    left, hops = -1, _hops(rows)
     while True:
-        rest = state.where("jump IS NOT NULL")
-        before, left = left, rest.count()
+        before, left = left, seen["left"]
         if left in (0, before):
             break
-        up = _side(state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump")), rows)
-        for _ in range(HOPS):
+        up, rest = _side(state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump")), rows), state.where("jump IS NOT NULL")
+        for _ in range(hops):
             rest = rest.join(up, "jump", "left").select("node", F.col("_jump").alias("jump"))
-        fresh = rounds.cut(state.where("jump IS NULL").unionByName(rest))
+        fresh, seen = rounds.counted(state.where("jump IS NULL").unionByName(rest), left=F.col("jump").isNotNull())
         rounds.drop(state)
         state = fresh
     forest = rounds.cut(state.where("jump IS NULL").select("node"), keep=True) if left else parent.select("node")
@@ -64,7 +68,7 @@ def _peel(rounds: Rounds, parent: DataFrame, rows: int) -> tuple[DataFrame, Data
         if images == before:
             return forest, ring.select("node", F.col("jump").alias("entry"))
         up, step = _side(ring.select(F.col("node").alias("jump"), F.col("jump").alias("_jump")), left), ring
-        for _ in range(HOPS):
+        for _ in range(_hops(left)):
             step = step.join(up, "jump").select("node", F.col("_jump").alias("jump"))
         fresh = rounds.cut(step)
         rounds.drop(ring)
@@ -74,19 +78,18 @@ def _peel(rounds: Rounds, parent: DataFrame, rows: int) -> tuple[DataFrame, Data
 def _cycle_names(rounds: Rounds, parent: DataFrame, cyclic: DataFrame) -> DataFrame:
     """(node, on_cycle, root): the smallest name on the cycle each node lies on or leads into."""
     on = cyclic.select(F.col("entry").alias("node")).distinct()
-    ring = rounds.cut(parent.join(on, "node", "left_semi").select("node", F.col("up").alias("jump"), F.col("name").alias("low")))
-    rows = ring.count()
+    ring, seen = rounds.counted(parent.join(on, "node", "left_semi").select("node", F.col("up").alias("jump"), F.col("name").alias("low")))
+    rows = 2 * seen["rows"]
     while True:
         ahead = ring.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("low").alias("_low"))
-        ahead = broadcast_if_small(ahead, 2 * POINTER_BYTES) if rows * POINTER_BYTES <= BROADCAST_BYTES else ahead
+        ahead = _side(ahead, rows)
         turned = ring.select("node", "jump", "low", F.lit(False).alias("moved"))
-        for _ in range(HOPS):
+        for _ in range(_hops(rows)):
             turned = turned.join(ahead, "jump").select("node", F.col("_jump").alias("jump"), F.least("low", "_low").alias("low"), (F.col("moved") | (F.col("_low") < F.col("low"))).alias("moved"))
-        fresh = rounds.cut(turned)
-        changed = not fresh.where("moved").isEmpty()
+        fresh, seen = rounds.counted(turned, moved=F.col("moved"))
         rounds.drop(ring)
         ring = fresh
-        if not changed:
+        if not seen["moved"]:
             break
     lows = ring.select(F.col("node").alias("entry"), F.col("low").alias("root"))
     marked = on.withColumn("on_cycle", F.lit(True))
@@ -110,13 +113,13 @@ def euler_tour(rounds: Rounds, forest: DataFrame, rows: int, slice_rows: int = S
     up = kids.select((2 * F.col("node") + 1).alias("arc"), F.coalesce(2 * F.col("sibling"), 2 * F.col("up") + 1).alias("next"))
     end = forest.where("up IS NULL").select((2 * F.col("node") + 1).alias("arc"), none.alias("next"))
     # ``hops`` counts the arcs from this one up to, not including, ``next``; ``tail`` is the last arc passed
-    ranks = rounds.cut(down.unionByName(up).unionByName(end).select("arc", "next", F.lit(1).cast("long").alias("hops"), F.col("arc").alias("tail")))
-    while not ranks.where("next IS NOT NULL").isEmpty():
+    ranks, seen = rounds.counted(down.unionByName(up).unionByName(end).select("arc", "next", F.lit(1).cast("long").alias("hops"), F.col("arc").alias("tail")), left=F.col("next").isNotNull())
+    while seen["left"]:
         ahead = _side(ranks.select(F.col("arc").alias("next"), F.col("next").alias("_next"), F.col("hops").alias("_hops"), F.col("tail").alias("_tail")), 2 * rows)
         jumped = ranks.where("next IS NOT NULL")
-        for _ in range(HOPS):
+        for _ in range(_hops(2 * rows)):
             jumped = jumped.join(ahead, "next", "left").select("arc", F.col("_next").alias("next"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.coalesce("_tail", "tail").alias("tail"))
-        fresh = rounds.cut(ranks.where("next IS NULL").unionByName(jumped))
+        fresh, seen = rounds.counted(ranks.where("next IS NULL").unionByName(jumped), left=F.col("next").isNotNull())
         rounds.drop(ranks)
         ranks = fresh
     return ranks.groupBy(F.expr("arc DIV 2").alias("node")).agg(
@@ -191,8 +194,8 @@ def hierarchy(links: DataFrame, nodes: DataFrame, slice_rows: int = SLICE_ROWS)
     known = links.distinct().join(up, "parent").join(nodes.select(F.col("node").alias("child")), "child", "left_semi")
     one = rounds.cut(known.groupBy("child").agg(F.min(F.struct("_pname", "parent")).alias("p")).select(F.col("child").alias("key"), F.col("p.parent").alias("up_key")))
     linked = one.select("key").union(one.select(F.col("up_key").alias("key"))).distinct()
-    numbered = rounds.cut(linked.join(one, "key", "left").join(nodes.withColumnRenamed("node", "key"), "key").withColumn("node", F.monotonically_increasing_id()))
-    rows = numbered.count()
+    numbered, seen = rounds.counted(linked.join(one, "key", "left").join(nodes.withColumnRenamed("node", "key"), "key").withColumn("node", F.monotonically_increasing_id()))
+    rows = seen["rows"]
     parent = rounds.cut(numbered.join(_side(numbered.select(F.col("key").alias("up_key"), F.col("node").alias("up")), 2 * rows), "up_key", "left").select("node", "up", "key", "name"), keep=True)
     rounds.drop(one, numbered)
     trees, cyclic = _peel(rounds, parent, rows)

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Items a heavy-hitter sketch tracks, and the most it reports. Any key that holds more than about
@@ -97,6 +97,17 @@ class Rounds:
             self.paths[id(out)] = path
         return out
 
+    def counted(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """``cut``, with the number of rows (``rows``) and of rows that meet each condition, counted while writing.
+
+        A part written twice after a lost executor may count twice, so the numbers tell nothing from
+        something and bound sizes from above.
+        """
+        seen = Observation()
+        columns = df.columns
+        marked = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+        return self.cut(marked.select(*columns)), {k: int(v or 0) for k, v in seen.get.items()}
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in frames:

@@ -58,8 +58,7 @@ def test_hot_entity_sliced_like_unsliced(spark):
         want += [] if n is None else [(eid, versions[n][0])]
     assert rows(as_known_at(e, v, **ARGS)) == sorted(want)
     assert rows(as_known_at(e, v, slice_rows=20, **ARGS)) == sorted(want)
-    for size in (3, 7):
-        assert rows(as_known_at(e, v, slice_rows=size, **ARGS)) == sorted(want)
+    assert rows(as_known_at(e, v, slice_rows=5, **ARGS)) == sorted(want)
 
 
 def test_hot_instants_are_dealt(spark):

@@ -78,7 +78,7 @@ def test_choice_is_the_same_at_every_slice_size(spark):
     args = dict(row_id="id", text="txt", source="src", seq="seq", zone="tz", date_order="ord")
     whole = rows(normalise(df, **args))
     assert len(whole) > 30
-    for size in (1, 2, 3, 4, 17):
+    for size in (1, 3, 17):
         assert rows(normalise(df, slice_rows=size, **args)) == whole
 
 
