@@ -93,14 +93,14 @@ NOW, BEFORE = "2024-06-01 00:00:00", "2023-06-01 00:00:00"
 
 
 def p7_current(spark: SparkSession, d: str) -> DataFrame:
-    """The report of orphans open at NOW, from counts kept at BEFORE and the deltas since then."""
+    """The keys referred to and not there at NOW, from counts kept at BEFORE and the deltas since then."""
     sides, there = _reference_sides(spark, d)
     refs = reduce(DataFrame.unionByName, [reference_deltas(rows, field, "id", key, "valid_from", "valid_to") for field, (rows, key) in sides.items()])
     there = reduce(DataFrame.unionByName, there)
     since = (F.col("t") > instant(BEFORE)) & (F.col("t") <= instant(NOW))
     kept = Rounds(spark, "reference_counts").cut(apply_deltas(None, refs.where(F.col("t") <= instant(BEFORE)), there.where(F.col("t") <= instant(BEFORE))), keep=True)
     state = apply_deltas(kept, refs.where(since), there.where(since))
-    return current_orphans(state).groupBy("field", "kind").agg(F.count("*").alias("keys"), F.sum("refs").alias("refs"))
+    return current_orphans(state)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

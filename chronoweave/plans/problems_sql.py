@@ -103,7 +103,7 @@ target AS (
   UNION ALL SELECT 'episode_id', id, occurred_at, NULL FROM episode),
 open_ref AS (SELECT field, key, count(*) AS refs FROM ref WHERE f <= TIMESTAMP '2024-06-01' AND (u IS NULL OR u > TIMESTAMP '2024-06-01') GROUP BY 1, 2),
 begun AS (SELECT field, key, bool_or(u IS NULL OR u > TIMESTAMP '2024-06-01') AS alive FROM target WHERE f <= TIMESTAMP '2024-06-01' GROUP BY 1, 2)
-SELECT r.field, CASE WHEN b.key IS NULL THEN 'missing' ELSE 'deleted' END AS kind, count(*) AS keys, CAST(sum(r.refs) AS BIGINT) AS refs FROM open_ref r LEFT JOIN begun b USING (field, key) WHERE NOT coalesce(b.alive, false) GROUP BY 1, 2
+SELECT r.field, r.key, r.refs, CASE WHEN b.key IS NULL THEN 'missing' ELSE 'deleted' END AS kind FROM open_ref r LEFT JOIN begun b USING (field, key) WHERE NOT coalesce(b.alive, false)
 """
 
 SQL = {

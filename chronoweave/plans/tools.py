@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import text as tx
-from chronoweave.operators import evidence, graph, integrity, retrieval, rules, temporal
+from chronoweave.operators import graph, integrity, retrieval, rules, temporal, verification
 from chronoweave.operators.dedup import exact_groups
 from chronoweave.operators.hierarchy import reference_number
 from chronoweave.operators.temporal import in_force, instant
@@ -121,10 +121,10 @@ class Workspace:
         gone = rows.where("valid_to IS NOT NULL").select(F.col("valid_to").alias("t"), F.lit("ended").alias("event"), "name", "kind", "file_path")
         return seen.unionByName(gone).distinct().orderBy("t", "event")
 
-    def find_orphaned_code(self, prefix: str = "") -> DataFrame:
-        spans = self._spans(FOREVER).where(F.col("file_path").startswith(prefix))
-        ends = self._edges().select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        return spans.join(ends, "id", "left_anti")
+    def find_orphaned_code(self, prefix: str = "", links: DataFrame | None = None) -> DataFrame:
+        """(id, name, file_path): live symbols under ``prefix`` whose name no link (symbol) of a decision has. The project's tables hold no such links."""
+        spans = self._spans(FOREVER).where(F.col("file_path").startswith(prefix)).select("id", "name", "file_path")
+        return spans if links is None else spans.join(links.select(F.col("symbol").alias("name")).where("name IS NOT NULL").distinct(), "name", "left_anti").select("id", "name", "file_path")
 
     def get_graph_snapshot(self, focus: str | None = None, depth: int = 2) -> DataFrame:
         """Edges of the whole symbol graph, or of what lies within ``depth`` (1 to 6) of the symbols named like ``focus``."""
@@ -151,9 +151,23 @@ class Workspace:
     def check_consistency(self) -> DataFrame:
         return rules.contradictions(self._constraints(), "repo_id", "id")
 
-    def verify_claims(self) -> DataFrame:
-        anchors = self.table("decision_git_link", "id", "decision_uri", "confidence").distinct().select(F.col("decision_uri").alias("source_uri"), F.coalesce(F.col("confidence") < 0.5, F.lit(False)).alias("stale"), F.lit(False).alias("relocated"))
-        return evidence.dispositions(self.table("decision", "source_uri"), anchors, "source_uri")
+    def verify_claims(self, anchors: DataFrame | None = None, texts: DataFrame | None = None, symbols: DataFrame | None = None, reachable: DataFrame | None = None) -> DataFrame:
+        """(source_uri, disposition) of each decision by its anchors against the present (see ``verify_anchors``).
+
+        Without ``anchors`` a decision rests on the commits and requests its links name; ``reachable``
+        are the commits (sha) of the present history, by default those the links know.
+        """
+        claims = self.table("decision", F.col("source_uri").alias("id")).where("id IS NOT NULL").distinct()
+        if anchors is None:
+            none = lambda kind: F.lit(None).cast(kind)
+            anchors = self.table("decision_git_link", "id", F.col("decision_uri").alias("claim_id"), F.col("ref_type").alias("source_kind"), F.col("ref_id").alias("source_uri")).distinct().withColumns(
+                {"subpath": F.lit(""), "anchored_text": F.lit(""), "start_line": none("int"), "end_line": none("int")}
+            )
+        if reachable is None:
+            reachable = self.table("decision_git_link", "ref_type", F.col("ref_id").alias("sha")).where("ref_type = 'commit'").select("sha").distinct()
+        texts = self.spark.createDataFrame([], "source_uri string, text string") if texts is None else texts
+        verified = verification.verify_anchors(anchors, texts, symbols, reachable)
+        return verification.claim_dispositions(claims, verified).select(F.col("claim_id").alias("source_uri"), "disposition", "anchors", "stale")
 
     def find_stale_decisions(self, since: str, min_confidence: float = 0.0) -> DataFrame:
         rows = self.table("decision", "source_uri", "valid_from", "valid_to").where("valid_to IS NULL").groupBy("source_uri").agg(F.min("valid_from").alias("first"))

@@ -28,11 +28,15 @@ def test_code_tools(ws):
     assert ws.get_graph_snapshot(name["name"], 1).count() <= ws.get_graph_snapshot().count()
     assert ws.trace_call_path(name["name"], "both", 1, 0.0).count() >= 0
     assert ws.find_orphaned_code("pkg/").columns[0] == "id"
+    named = ws.spark.createDataFrame([(name["name"],), (None,)], "symbol string")
+    assert ws.find_orphaned_code("", named).where(f"name = '{name['name']}'").isEmpty() and not ws.find_orphaned_code().where(f"name = '{name['name']}'").isEmpty()
     assert ws.find_decisions_for_code("docs/adr").count() > 0
 
 
 def test_rule_and_document_tools(ws, spark):
     assert {r[0] for r in ws.verify_claims().select("disposition").distinct().collect()} <= {"unprovable", "unaffected", "affected"}
+    lost = ws.verify_claims(reachable=spark.createDataFrame([], "sha string"))
+    assert {"unprovable", "unaffected"} == {r[0] for r in lost.select("disposition").distinct().collect()} and lost.where("stale > 0").count() > 0 == ws.verify_claims().where("stale > 0").count()
     assert ws.find_stale_decisions("2025-01-01 00:00:00", 0.7).where("confidence < 0.7").isEmpty()
     live = ws.table("adr_document", "repo_id", "adr_id", "title", "valid_to").where("valid_to IS NULL")
     assert ws.verify_index_integrity(live).first()["verdict"] == "clean"
