@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 
 from chronoweave.plans.store import Store
-from chronoweave.sources.schema import schema
+from chronoweave.sources.schema import fields, schema
 
 T = {i: f"2024-01-{i:02d} 00:00:00" for i in range(1, 29)}
 
@@ -131,8 +131,7 @@ def _value(kind: str, v):
 def store(spark: SparkSession) -> Store:
     tables = {}
     for name, rows in ROWS.items():
-        fields = schema(name).fields
-        tables[name] = spark.createDataFrame([tuple(_value(f.dataType.simpleString(), r.get(f.name)) for f in fields) for r in rows], schema(name))
+        tables[name] = spark.createDataFrame([tuple(_value(kind, r.get(c)) for c, kind in fields(name)) for r in rows], schema(name))
     return Store(spark, tables)
 
 
@@ -157,8 +156,7 @@ def constants(*names: str) -> str:
     """``name AS (rows), ...`` for the WITH of a query, with a ``t_`` before each name."""
     out = []
     for name in names:
-        fields = schema(name).fields
-        rows = [", ".join(f"CAST({_literal(r.get(f.name))} AS {_SQL[f.dataType.simpleString()]}) AS {f.name}" for f in fields) for r in ROWS[name]]
+        rows = [", ".join(f"CAST({_literal(r.get(c))} AS {_SQL[kind]}) AS {c}" for c, kind in fields(name)) for r in ROWS[name]]
         out.append(f"t_{name} AS (" + " UNION ALL ".join(f"SELECT {r}" for r in rows) + ")")
     return ", ".join(out)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql.types import StructType
 
 _PERIOD = "valid_from timestamp_ntz, valid_to timestamp_ntz"
@@ -42,5 +44,10 @@ COLUMNS = {
 EMBEDDED = {"decisions": "text", "constraints": "text", "episodes": "content", "commits": "message", "pull_requests": "title", "symbols": "name", "entity_nodes": "canonical_name"}
 
 
+def fields(name: str) -> list[tuple[str, str]]:
+    """(column, type) of a table, without a session."""
+    return [tuple(c.split(" ", 1)) for c in re.split(r", (?=\w+ )", COLUMNS[name])]
+
+
 def schema(name: str) -> StructType:
     return StructType.fromDDL(COLUMNS[name])

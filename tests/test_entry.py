@@ -19,6 +19,10 @@ def test_core_doesnt_need_the_llm_part():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
 
 
+def test_entry_is_imported_without_a_session():
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=ROOT, check=True, timeout=120)
+
+
 def test_queries_against_sql(spark, data):
     """Every query with SQL gives the rows DuckDB gives, on the smallest tables."""
     import duckdb
