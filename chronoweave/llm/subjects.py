@@ -132,19 +132,20 @@ def propagate(run: Rounds, links: DataFrame, seeds: DataFrame, state: DataFrame
     weight = broadcast_if_small(weight, 64)
     if state is None:
         start = seeds.select("p", "n", F.size("held").alias("k"), F.explode("held").alias("subject")).groupBy("p", "subject").agg(F.sum(F.col("n") / F.col("k")).alias("s"))
-        state = run.cut(start.join(weight, "p").select("p", "subject", (F.col("s") / F.col("w")).alias("f")))
+        state, seen = run.counted(start.join(weight, "p").select("p", "subject", (F.col("s") / F.col("w")).alias("f")))
+    else:
+        seen = {"rows": state.count()}
     while True:
-        now = broadcast_if_small(state, 64)
+        now = F.broadcast(state) if seen["rows"] * 64 <= BROADCAST_BYTES else state
         held = seeds.select("p", "held", "n", F.explode("held").alias("subject")).join(now, ["p", "subject"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)) + 1e-3)
         own = held.select("p", "subject", (F.col("n") * F.col("f") / F.sum("f").over(_within("p", "held"))).alias("s"))
         near = links.join(now.withColumnRenamed("p", "q"), "q").select("p", "subject", (DAMPING * F.col("alike") * F.col("f")).alias("s"))
         was = state.select("p", "subject", F.lit(0.0).alias("s"), F.col("f").alias("g"))
         sums = own.unionByName(near).withColumn("g", F.lit(0.0)).unionByName(was).groupBy("p", "subject").agg(F.sum("s").alias("s"), F.sum("g").alias("g"))
-        fresh = run.cut(sums.join(weight, "p").select("p", "subject", (F.col("s") / F.col("w")).alias("f"), "g"))
-        moved = not fresh.where(F.abs(F.col("f") - F.col("g")) >= CHANGE).isEmpty()
+        fresh, seen = run.counted(sums.join(weight, "p").select("p", "subject", (F.col("s") / F.col("w")).alias("f"), "g"), moved=F.abs(F.col("f") - F.col("g")) >= CHANGE)
         run.drop(state)
         state = fresh
-        if not moved:
+        if not seen["moved"]:
             return state.select("p", "subject", "f")
 
 
