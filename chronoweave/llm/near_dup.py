@@ -108,13 +108,16 @@ def _signatures(segments: int, values: int, length: int, seed: int, hot_key: int
                 n = len(keys)
                 # the rows of one text follow each other, which the shuffle's compression profits from
                 flat, rows = keys.T.reshape(-1), np.repeat(np.arange(len(ids)), n)
-                often, counts = np.unique(flat, return_counts=True)
-                keep = np.ones(len(flat), bool)
-                for key in often[counts >= min(FREQUENT, hot_key + 1)]:
-                    at = np.flatnonzero(flat == key)
-                    before = sent.get(int(key), 0)
-                    keep[at[max(0, hot_key + 1 - before) :]] = False
-                    sent[int(key)] = before + len(at)
+                often, of, counts = np.unique(flat, return_inverse=True, return_counts=True)
+                place = np.empty(len(flat), np.int64)  # of a row among those of its key
+                place[np.argsort(of, kind="stable")] = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+                most = np.full(len(often), len(flat))
+                for i in np.flatnonzero(counts >= min(FREQUENT, hot_key + 1)).tolist():
+                    key = int(often[i])
+                    before = sent.get(key, 0)
+                    most[i] = hot_key + 1 - before
+                    sent[key] = before + int(counts[i])
+                keep = place < most[of]
                 marks = sketch(low)
                 flat, rows = flat[keep], rows[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids[rows]), *[pa.array(m[rows].view(np.int64)) for m in marks]], names=["key", "cid", *MARKS])
