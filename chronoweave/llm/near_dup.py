@@ -23,6 +23,8 @@ FREQUENT = 16
 SEED = 11
 #: Values compared in the sketches, and the columns these travel in.
 FIELDS, MARKS = 64, ("s0", "s1", "s2", "s3")
+#: Columns of the parities of a text's sequences, 64 bits each.
+PARITY = tuple(f"p{i}" for i in range(8))
 
 
 def words(title: Column, text: Column) -> Column:
@@ -141,7 +143,7 @@ def _in_hot_keys(segments: int, values: int, length: int, seed: int):
 
 
 def _hashed(length: int):
-    """(cid, h): the distinct word sequences of each text, by hash."""
+    """(cid, size, h): the distinct word sequences of each text, by hash, and how many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +152,36 @@ def _hashed(length: int):
                 continue
             h, starts = sequence_hashes(texts, length)
             own = [np.unique(x).view(np.int64) for x in np.split(h, starts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([x.tolist() for x in own], pa.list_(pa.int64()))], names=["cid", "h"])
+            sizes = np.array([len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("cid").to_numpy(zero_copy_only=False), sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(own))], names=["cid", "size", "h"])
+
+    return run
+
+
+def _index(similarity: float):
+    """(h, cid, size, alone, left, bits): of each text (cid, size, t) the sequences it is to be joined on.
+
+    ``t`` holds the sequences that other texts have too, from the rarest on; ``alone`` counts the
+    others, ``left`` the ones of t from h on; a bit is the parity of the sequences of t that fall on it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cid, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "size"))
+            held = batch.column("t").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            h = batch.column("t").flatten().to_numpy(zero_copy_only=False)
+            starts, alone = np.cumsum(held) - held, size - held
+            first = size - np.ceil(size * similarity - 1e-9).astype(np.int64) + 1 - alone
+            code = h.view(np.uint64)
+            word, bit = (code >> np.uint64(6)) % np.uint64(len(PARITY)), np.uint64(1) << (code & np.uint64(63))
+            bits = [np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), starts).view(np.int64) for i in range(len(PARITY))]
+            at = np.arange(len(h)) - np.repeat(starts, held)
+            keep = np.flatnonzero(at < np.repeat(first, held))
+            row = np.repeat(np.arange(len(held)), held)[keep]
+            whole = [x.astype(np.int32) for x in (size[row], alone[row], held[row] - at[keep])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[keep], cid[row], *whole, *(x[row] for x in bits))], names=["h", "cid", "size", "alone", "left", *PARITY])
 
     return run
 
@@ -161,16 +192,24 @@ def indexed_pairs(texts: DataFrame, length: int, similarity: float) -> DataFrame
     A text of n sequences that shares the given part of all with another one shares at least
     s = ceil(similarity * n) of its own; in one order of all sequences, from the rarest to the
     commonest, the first shared one then lies within the first n - s + 1 of both. Only those are
-    joined on, and a pair is kept at its first shared one alone.
+    joined on, without the ones that no other text has. Two bounds, neither of which loses a pair,
+    tell most of the others off before their texts are fetched: the sequences from the joined one
+    on must be enough (they are at the first shared one), and so many bits of parity as differ,
+    so many sequences at least do only one of the two texts have.
     """
-    each = texts.mapInArrow(_hashed(length), "cid long, h array<long>").select("cid", F.explode("h").alias("h"))
+    each = texts.mapInArrow(_hashed(length), "cid long, size int, h long")
     often = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    order = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "h"))), lambda x: x["h"])  # the sequences of one text
-    sets = each.join(often, "h", "left").groupBy("cid").agg(order.alias("t"))
-    size = F.size("t")
-    first = sets.select("cid", F.slice("t", F.lit(1), size - F.ceil(size * similarity).cast("int") + 1).alias("t")).select("cid", "t", F.explode("t").alias("h"))
-    a, b = first.select("h", F.col("cid").alias("x"), F.col("t").alias("tx")), first.select("h", F.col("cid").alias("y"), F.col("t").alias("ty"))
-    return a.join(b, "h").where("x < y").where(F.array_intersect("tx", "ty")[0] == F.col("h")).select("x", "y")
+    order = F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x["h"])  # the sequences of one text
+    sets = each.join(often, "h").groupBy("cid", "size").agg(order.alias("t"))
+    index = sets.mapInArrow(_index(similarity), "h long, cid long, size int, alone int, left int, " + ", ".join(f"{p} long" for p in PARITY))
+    a = index.select("h", *[F.col(c).alias(f"x_{c}") for c in index.columns if c != "h"])
+    b = index.select("h", *[F.col(c).alias(f"y_{c}") for c in index.columns if c != "h"])
+    sizes = F.col("x_size") + F.col("y_size")
+    differ = F.col("x_alone") + F.col("y_alone")
+    for p in PARITY:
+        differ = differ + F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}")))
+    enough = (F.least("x_left", "y_left") * (1 + similarity) >= sizes * similarity - 1e-9) & (differ * (1 + similarity) <= sizes * (1 - similarity) + 1e-9)
+    return a.join(b, "h").where("x_cid < y_cid").where(enough).select(F.col("x_cid").alias("x"), F.col("y_cid").alias("y")).distinct()
 
 
 def paired(least: int, hot_key: int):
@@ -270,7 +309,7 @@ def near_pairs(texts: DataFrame, *, length: int = SEQUENCE, similarity: float =
     """
     spark = texts.sparkSession
     ship(spark)
-    rounds = Rounds(spark, "near_dup")
+    rounds = Rounds(spark, "near_dup", tidy=True)
     base = texts.where(F.size(F.split("w", " ")) >= length)
     source = spread(base.select("cid", "w"))
     signed = source.mapInArrow(_signatures(segments, values, length, SEED, hot_key), "key long, cid long, " + ", ".join(f"{m} long" for m in MARKS))

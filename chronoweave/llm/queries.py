@@ -19,7 +19,7 @@ def _near_decisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
     Texts are told apart by 128 bits and numbered once, so that no two share a number.
     """
-    rounds = Rounds(spark, "decision_texts")
+    rounds = Rounds(spark, "decision_texts", tidy=True)
     code = F.unhex(F.md5(F.concat_ws("\x01", F.coalesce("title", F.lit("\x02")), F.coalesce("text", F.lit("\x02")))))
     rows = table(spark, d, "decision", "source_uri", "title", "text").where("source_uri IS NOT NULL").withColumn("code", code)
     # copies of a text meet map-side and are cut into words once; neither frame gathers the uris of a text

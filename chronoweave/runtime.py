@@ -21,6 +21,8 @@ SLICES = 10_000
 SLICE_ROWS = 200_000
 #: Bytes up to which a side may be broadcast, after its size was measured.
 BROADCAST_BYTES = 32 << 20
+#: Setting under which the shuffle files of a query are deleted when it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,11 +80,12 @@ class Rounds:
 
     Each ``cut`` writes the frame to the shared folder and reads it back, so that lineage stays
     short and a lost executor costs no recomputation. ``drop`` deletes tables no later plan reads;
-    those a returned frame still reads stay until ``clear``.
+    those a returned frame still reads stay until ``clear``. With ``tidy`` the shuffle files of a
+    write are deleted when it ends; else they stay until the driver collects its garbage.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(self.base)
         self.n = 0
@@ -91,7 +94,14 @@ class Rounds:
     def cut(self, df: DataFrame, keep: bool = False) -> DataFrame:
         path = f"{self.base}/{self.n:04d}"
         self.n += 1
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(TIDY, None)
+        if self.tidy:
+            self.spark.conf.set(TIDY, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(TIDY) if before is None else self.spark.conf.set(TIDY, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         if not keep:
             self.paths[id(out)] = path

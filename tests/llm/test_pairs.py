@@ -1,11 +1,13 @@
+import os
 import random
+import time
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from chronoweave.llm.components import components
-from chronoweave.llm.near_dup import near_pairs, words
+from chronoweave.llm.near_dup import indexed_pairs, near_pairs, words
 
 
 def share(a, b, n=3):
@@ -45,6 +47,37 @@ def test_texts_in_hot_keys_lose_no_pair(spark):
     assert got == {(a, b) for a, x in texts for b, y in texts if a < b and share(x, y) >= 0.5} and len(got) > 100
 
 
+def test_index_tells_off_texts_with_too_little_in_common(spark):
+    rng = random.Random(5)
+    parts = [" ".join(f"p{k}w{i}" for i in range(9)) for k in range(12)]
+    texts = [" ".join([*rng.sample(parts, 4), *(f"own{n}x{i}" for i in range(12))]) for n in range(120)]
+    texts = list(enumerate(texts + [t.replace("x11", "y11") for t in texts[:20]]))
+    found = [tuple(r) for r in indexed_pairs(spark.createDataFrame(texts, "cid long, w string"), 3, 0.5).collect()]
+    want = {(a, b) for a, x in texts for b, y in texts if a < b and share(x, y) >= 0.5}
+    assert len(found) == len(set(found)) and want <= set(found)
+    assert len(found) <= 3 * len(want)  # of 9730 pairs, most of which share a passage
+
+
+def test_shuffles_of_written_tables_take_no_disk(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def held():
+        return {f: os.path.getsize(os.path.join(at, f)) for d in dirs for at, _, files in os.walk(d.getPath()) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+
+    texts = spark.createDataFrame(corpus(3, 8), "cid long, w string")
+    before, set_to = held(), spark.conf.get(setting, None)
+    pairs = near_pairs(texts, hot_key=1)
+    for _ in range(50):  # they are deleted in the background
+        after = held()
+        left = sum(after[f] for f in after.keys() - before.keys())
+        if left < 2000:  # counts of rows
+            break
+        time.sleep(0.2)
+    assert left < 2000
+    assert spark.conf.get(setting, None) == set_to and pairs.count() > 0
+
+
 def test_words(spark):
     df = spark.createDataFrame([("It's  A_b", "Über-42"), (None, "x"), (None, None)], "a string, b string")
     assert [r[0] for r in df.select(words(F.col("a"), F.col("b"))).collect()] == ["it s a b über 42", "x", ""]
